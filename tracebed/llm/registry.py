@@ -1,6 +1,11 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import mixing, quality
+from . import blocks, mixing, quality, suffixes
 
-QUERIES = {"op1_mixing": mixing.query, "op6_quality_rules": quality.query}
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE}
+QUERIES = {
+    "op1_mixing": mixing.query,
+    "op2_suffix_dedup": suffixes.query,
+    "op5_block_dedup": blocks.query,
+    "op6_quality_rules": quality.query,
+}
+ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_block_dedup": blocks.ORACLE}
