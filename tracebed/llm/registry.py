@@ -1,11 +1,13 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import blocks, mixing, quality, suffixes
+from . import blocks, decontaminate, mixing, quality, simhash, suffixes
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_suffix_dedup": suffixes.query,
     "op5_block_dedup": blocks.query,
     "op6_quality_rules": quality.query,
+    "op7_decontamination": decontaminate.query,
+    "op9_simhash": simhash.query,
 }
-ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_block_dedup": blocks.ORACLE}
+ORACLE_SQL = {"op1_mixing": mixing.ORACLE, "op5_block_dedup": blocks.ORACLE, "op7_decontamination": decontaminate.ORACLE}
