@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -36,8 +37,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first frees Python's handles, the second what they held in the JVM
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
@@ -78,12 +81,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for an odd base."""
-    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    if n:
-        up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """base**i and base**-i modulo 2**64, for an odd base; kept for the next call."""
+    if base not in POWERS or len(POWERS[base][0]) < n:
+        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+        if n:
+            up[0] = down[0] = 1
+        both = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        if n > 1 << 18:
+            return both
+        POWERS[base] = both
+    up, down = POWERS[base]
+    return up[:n], down[:n]
 
 
 class Rolling:
@@ -92,14 +104,22 @@ class Rolling:
     def __init__(self, buf: np.ndarray, base: int):
         up, self.down = powers(len(buf) + 1, base)
         self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
+        terms = buf.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= up[:-1]
+        np.cumsum(terms, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def every(self, k: int) -> np.ndarray:
-        """Of each window of k."""
-        return mix64((self.sums[k:] - self.sums[:-k]) * self.down[: len(self.sums) - k] + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
+        """Of each window of k, mixed less."""
+        h = self.sums[k:] - self.sums[:-k]
+        h *= self.down[: len(h)]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+        return h
 
 
 def slices(off: np.ndarray, most: int) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ from .common import parts
 
 ASK = "step int, bucket int, chunk int, keys binary, extra binary"
 ANSWER = "step int, chunk int, bucket int, bits binary"
-CHUNK_BYTES = 4 << 20  # of the files read, about twice as much text
+CHUNK_BYTES = 2 << 20  # of the files read, about twice as much text
 
 
 def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -29,7 +29,8 @@ def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     # Null doc_ids are spread by their text.
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return text.withColumn("chunk", F.pmod(key, F.lit(n)).cast("int")), n
+    # With their number named, partitions are not coalesced: work here follows rows, not bytes.
+    return text.withColumn("chunk", F.pmod(key, F.lit(n)).cast("int")).repartition(n, "chunk"), n
 
 
 def by_doc(table: pa.Table) -> pa.Table:
@@ -61,8 +62,8 @@ def ask_rows(step: int, chunk: int, at: np.ndarray, keys: np.ndarray, extra: np.
     )
 
 
-def per_chunk(chunks: DataFrame, fn: Callable, schema: str, answers: DataFrame | None = None) -> DataFrame:
-    """fn(chunk, documents) or, with answers, fn(chunk, documents, answers), for each chunk."""
+def per_chunk(chunks: DataFrame, fn: Callable, schema: str, answers: DataFrame | None = None, n: int = 8) -> DataFrame:
+    """fn(chunk, documents) or, with answers, fn(chunk, documents, answers), for each of n chunks."""
     if answers is None:
 
         def alone(docs: pa.Table) -> pa.Table:
@@ -73,7 +74,7 @@ def per_chunk(chunks: DataFrame, fn: Callable, schema: str, answers: DataFrame |
     def both(docs: pa.Table, replies: pa.Table) -> pa.Table:
         return fn(docs.column("chunk")[0].as_py(), by_doc(docs), replies) if len(docs) else nothing(schema)
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, schema)
+    return chunks.groupBy("chunk").cogroup(answers.repartition(n, "chunk").groupBy("chunk")).applyInArrow(both, schema)
 
 
 def nothing(schema: str) -> pa.Table:
@@ -81,7 +82,7 @@ def nothing(schema: str) -> pa.Table:
     return pa.table({name: pa.array([], kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))})
 
 
-def answer(asked: DataFrame, fns: dict[int, Callable[[list[bytes], list[bytes]], list[np.ndarray]]]) -> DataFrame:
+def answer(asked: DataFrame, n: int, fns: dict[int, Callable[[list[bytes], list[bytes]], list[np.ndarray]]]) -> DataFrame:
     """fns[step](keys, extra), of lists with an item for each chunk, gives the answer to each."""
 
     def bucket(rows: pa.Table) -> pa.Table:
@@ -89,7 +90,7 @@ def answer(asked: DataFrame, fns: dict[int, Callable[[list[bytes], list[bytes]],
         replies = fns[rows.column("step")[0].as_py()](rows.column("keys").to_pylist(), rows.column("extra").to_pylist())
         return rows.select(["step", "chunk", "bucket"]).append_column("bits", pa.array([r.tobytes() for r in replies], pa.binary()))
 
-    return asked.groupBy("step", "bucket").applyInArrow(bucket, ANSWER)
+    return asked.repartition(n, "step", "bucket").groupBy("step", "bucket").applyInArrow(bucket, ANSWER)
 
 
 def replied(replies: pa.Table, step: int, sizes: np.ndarray, bits: bool = True) -> np.ndarray:

@@ -19,31 +19,31 @@ what it shares with the other. Texts under 200 bytes lose nothing; an empty tabl
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Rolling, slices, utf8, written
 from .packed import ASK, answer, ask_rows, bucket_of, chunked, cuts, per_chunk, replied, split_back
 
 NEED = 200
 GROUP = 4096  # different segments of one gram that a bucket takes as text
-PIECE = 1 << 20  # bytes of text that are hashed at a time
-BATCH = 1 << 20  # bytes of segments in one transform
+PIECE = 1 << 16  # bytes of text that are hashed at a time; what is derived from them stays in cache
+BATCH = 1 << 18  # bytes of segments in one transform
 BASE1, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
 def smallest(values: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of each window: of the rest of one block and the start of the next."""
-    n = len(values) - width + 1
-    padded = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(values)] = values
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    rest = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(rest[:n], ahead[width - 1 : width - 1 + n])
+    """The minimum of each window, from minima of windows of powers of two."""
+    n, have = len(values) - width + 1, 1
+    while 2 * have <= width:
+        values = np.minimum(values[:-have], values[have:])
+        have *= 2
+    return np.minimum(values[:n], values[width - have :][:n])
 
 
 def pieces(off: np.ndarray):
@@ -57,7 +57,7 @@ def pieces(off: np.ndarray):
 
 
 def segments(buf: np.ndarray, off: np.ndarray, need: int = NEED):
-    """Of each segment: gram, hash, first and last start of its strings. Then, for each segment, two hashes of each string on demand."""
+    """Of each segment: gram, hash, first and last start of its strings."""
     gram = need // 2
     width = need - gram + 1
     found = []
@@ -82,7 +82,7 @@ def segments(buf: np.ndarray, off: np.ndarray, need: int = NEED):
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)))
         p1 = start[new]
         p2 = start[np.concatenate((new[1:], [True]))]
-        found.append((g[anchor[new]], Rolling(b, BASE2).of(p1, p2 + need), p1 + lo, p2 + lo))
+        found.append((g[anchor[new]], first.of(p1, p2 + need), p1 + lo, p2 + lo))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -129,18 +129,20 @@ def divide(bwt: np.ndarray, ends: int, need: int) -> np.ndarray:
     Level by level, from one symbol on: two neighbouring rows that start with the same symbol are divided at a level if
     what follows that symbol was divided at the level before; going from a row to what follows is the inverse of a
     backward extension. Only rows that are still undivided are looked at again."""
-    n = len(bwt)
-    follow = np.argsort(bwt, kind="stable")  # row of the suffix that starts one symbol later
+    follow = np.argsort(bwt, kind="stable").astype(np.int32)  # row of the suffix that starts one symbol later
     first = bwt[follow]
     apart = np.concatenate(([True], first[1:] != first[:-1]))
     apart[: ends + 1] = True  # each end is a symbol of its own
-    rows = np.flatnonzero(~apart)
+    rows = np.flatnonzero(~apart).astype(np.int32)
     above, below = follow[rows - 1], follow[rows]
+    count = np.empty(len(bwt), np.int32)
     for _ in range(1, need):
         if not len(rows):
             break
-        count = np.cumsum(apart)
+        np.cumsum(apart, out=count)
         split = count[below] != count[above]
+        if not split.any():
+            break  # nothing was divided, so nothing ever will be
         apart[rows[split]] = True
         keep = ~split
         rows, above, below = rows[keep], above[keep], below[keep]
@@ -285,6 +287,38 @@ class Chunk:
         self.scuts = cuts(bucket_of(self.skeys[:, 0], self.n), self.n)
 
 
+def merge(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The union of intervals, as rows of start and end."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.concatenate(([True], start[1:] > end[:-1])) if len(start) else np.zeros(0, bool)
+    return np.stack((start[new], end[np.concatenate((new[1:], [True]))] if len(start) else end), axis=1)
+
+
+@dataclass
+class Place:
+    """Where in a chunk its answers belong, so that the last step need not hash the texts again."""
+
+    copied: np.ndarray  # intervals of bytes
+    start: np.ndarray  # of the segments sent as text, in the order asked
+    windows: np.ndarray  # strings in each
+    per_bucket: np.ndarray
+    strings: np.ndarray  # starts of strings sent by hash
+    inverse: np.ndarray  # and the key of each
+    per_string_bucket: np.ndarray
+
+    def bytes(self) -> bytes:
+        arrays = [np.ascontiguousarray(getattr(self, f.name), np.int32) for f in fields(self)]
+        return np.array([a.size for a in arrays], np.int32).tobytes() + b"".join(a.tobytes() for a in arrays)
+
+    @classmethod
+    def read(cls, raw: bytes) -> Place:
+        names = [f.name for f in fields(cls)]
+        sizes = np.frombuffer(raw, np.int32, len(names))
+        found = dict(zip(names, np.split(np.frombuffer(raw, np.int32, offset=4 * len(names)).astype(np.int64), np.cumsum(sizes)[:-1]), strict=True))
+        return cls(**found | {"copied": found["copied"].reshape(-1, 2)})
+
+
 def dedup_bytes(docs: DataFrame) -> DataFrame:
     """RESULT for each document: bytes in a 200-byte string that starts anywhere else too are removed."""
     chunks, n = chunked(docs)
@@ -304,43 +338,47 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
             grams.append(c.pairs[own, 0].tobytes())
             texts.append((p2 - p1).astype(np.uint32).tobytes() + b"".join(data[x:y] for x, y in zip(p1.tolist(), p2.tolist(), strict=True)))
         of = lambda v: pa.array(np.full(len(full), v), pa.int32())
+        place = Place(merge(*(x[c.copied[c.inverse]] for x in (c.p1, c.p2 + NEED))), c.p1[c.first[c.text]], c.windows, np.diff(np.concatenate(([0], np.cumsum(c.windows)))[c.text_cuts]), c.strings, c.sinverse, np.diff(c.scuts))
+        own = pa.table({"step": pa.array([0], pa.int32()), "bucket": pa.array([0], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "keys": pa.array([place.bytes()], pa.binary()), "extra": pa.array([b""], pa.binary())})
         first = pa.table({"step": of(2), "bucket": pa.array(full, pa.int32()), "chunk": of(chunk), "keys": pa.array(grams, pa.binary()), "extra": pa.array(texts, pa.binary())})
-        return pa.concat_tables([first, ask_rows(3, chunk, c.scuts, c.skeys, c.smany)])
+        return pa.concat_tables([own, first, ask_rows(3, chunk, c.scuts, c.skeys, c.smany)])
 
     def remove(chunk: int, table: pa.Table, replies: pa.Table) -> pa.Table:
-        c = Chunk(table, n)
-        c.ordered(replied(replies, 1, np.diff(c.cuts), bits=False))
-        edge = np.zeros(len(c.buf) + 1, np.int32)
+        buf, off = utf8(table.column("text"))
+        step = replies.column("step").to_pylist()
+        (own,) = (k for s, k in zip(step, replies.column("bits").to_pylist(), strict=True) if s == 0)
+        place = Place.read(own)
+        edge = np.zeros(len(buf) + 1, np.int32)
 
         def mark(start: np.ndarray, end: np.ndarray) -> None:
             np.add.at(edge, start, 1)
             np.add.at(edge, end, -1)
 
-        whole = c.copied[c.inverse]
-        mark(c.p1[whole], c.p2[whole] + NEED)
-        per_bucket = np.concatenate(([0], np.cumsum(c.windows)))[c.text_cuts]
-        hit = replied(replies, 2, np.diff(per_bucket))
-        start = np.repeat(c.p1[c.first[c.text]] - np.cumsum(c.windows) + c.windows, c.windows) + np.arange(c.windows.sum())
+        mark(*place.copied.T)
+        hit = replied(replies, 2, place.per_bucket)
+        start = np.repeat(place.start - np.cumsum(place.windows) + place.windows, place.windows) + np.arange(place.windows.sum())
         mark(start[hit], start[hit] + NEED)
-        strings = replied(replies, 3, np.diff(c.scuts))[c.sinverse]
-        mark(c.strings[strings], c.strings[strings] + NEED)
+        strings = replied(replies, 3, place.per_string_bucket)[place.inverse]
+        mark(place.strings[strings], place.strings[strings] + NEED)
         gone = np.cumsum(edge[:-1]) > 0
         total = np.concatenate(([0], np.cumsum(gone)))
-        removed = total[c.off[1:]] - total[c.off[:-1]]
-        data, spans, digests = c.buf, [], []
-        for d, (a, b) in enumerate(zip(c.off[:-1].tolist(), c.off[1:].tolist(), strict=True)):
+        removed = total[off[1:]] - total[off[:-1]]
+        spans, digests = [], []
+        for d, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
             if removed[d]:
                 own = gone[a:b]
                 spans.append(int(own[0]) + int((own[1:] & ~own[:-1]).sum()))
-                digests.append(hashlib.sha256(data[a:b][~own].tobytes()).hexdigest())
+                digests.append(hashlib.sha256(buf[a:b][~own].tobytes()).hexdigest())
             else:
                 spans.append(0)
-                digests.append(hashlib.sha256(data[a:b]).hexdigest())
-        return pa.table({"doc_id": table.column("doc_id"), "n_bytes": np.diff(c.off), "n_removed": removed, "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
-
-    named = written(answer(per_chunk(chunks, name, ASK), {1: compare_segments}), "suffixes")
-    sent = written(answer(per_chunk(chunks, send, ASK, named), {2: expand, 3: count_strings}), "suffixes")
-    return per_chunk(chunks, remove, RESULT, named.unionByName(sent))
+                digests.append(hashlib.sha256(buf[a:b]).hexdigest())
+        return pa.table({"doc_id": table.column("doc_id"), "n_bytes": np.diff(off), "n_removed": removed, "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
+
+    named = written(answer(per_chunk(chunks, name, ASK), n, {1: compare_segments}), "suffixes")
+    asked = written(per_chunk(chunks, send, ASK, named, n), "suffixes")
+    found = written(answer(asked.where("step > 0"), n, {2: expand, 3: count_strings}), "suffixes")
+    places = asked.where("step = 0").select("step", "chunk", "bucket", F.col("keys").alias("bits"))
+    return per_chunk(chunks, remove, RESULT, places.unionByName(found), n)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
