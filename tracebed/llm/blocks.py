@@ -41,9 +41,9 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hashed_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash and the document of each word, derived about 1 MB at a time."""
+    """A 64-bit hash and the document of each word, derived some 100 KB at a time."""
     hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for i, j in slices(off, 1 << 20):
+    for i, j in slices(off, 1 << 17):
         b = buf[off[i] : off[j]]
         if len(b):
             start, end, doc = word_spans(b, off[i : j + 1] - off[i])
@@ -151,9 +151,9 @@ def dedup_words(docs: DataFrame, window: int = 13) -> DataFrame:
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
         return pa.table({"doc_id": table.column("doc_id"), "n_words": np.diff(ends), "n_removed": removed, "kept_sha256": pa.array(digests, pa.string())})
 
-    found = written(answer(per_chunk(chunks, probe, ASK), {1: live_blocks}), "blocks")
-    extended = written(answer(per_chunk(chunks, extend, ASK, found), {2: held_before}), "blocks")
-    return per_chunk(chunks, remove, RESULT, found.unionByName(extended))
+    found = written(answer(per_chunk(chunks, probe, ASK), n, {1: live_blocks}), "blocks")
+    extended = written(answer(per_chunk(chunks, extend, ASK, found, n), n, {2: held_before}), "blocks")
+    return per_chunk(chunks, remove, RESULT, found.unionByName(extended), n)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
