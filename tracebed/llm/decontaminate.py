@@ -72,19 +72,23 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
 class Index:
     """Windows by their rarest word: its place, the window's words, and its items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], often: dict[bytes, int], size: int = WINDOW):
+    def __init__(self, names: list[str], by_word: dict[bytes, list[tuple[int, list[bytes], list[int]]]]):
+        self.names, self.by_word = names, by_word
+
+    @classmethod
+    def of(cls, items: list[tuple[str, bytes]], often: dict[bytes, int], size: int = WINDOW) -> "Index":
         windows: dict[tuple[bytes, ...], list[int]] = {}
-        self.names = [name for name, _ in items]
         for i, (_, text) in enumerate(items):
             w = words(text)
             for k in range(max(1, len(w) - size + 1) if w else 0):
                 owners = windows.setdefault(tuple(w[k : k + size]), [])
                 if not owners or owners[-1] != i:
                     owners.append(i)
-        self.by_word: dict[bytes, list[tuple[int, list[bytes], list[int]]]] = {}
+        by_word: dict[bytes, list[tuple[int, list[bytes], list[int]]]] = {}
         for window, owners in windows.items():
             place = min(range(len(window)), key=lambda k: (often.get(window[k], 0), window[k], k))
-            self.by_word.setdefault(window[place], []).append((place, list(window), owners))
+            by_word.setdefault(window[place], []).append((place, list(window), owners))
+        return cls([name for name, _ in items], by_word)
 
     def hits(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans of words that windows cover, and the items whose windows are found."""
@@ -102,10 +106,11 @@ class Index:
 def probe(docs: DataFrame, items: list[tuple[str, bytes]], schema: str, emit) -> DataFrame:
     """emit(batch, hits of a text) gives the rows of schema for a batch."""
     often = frequencies(docs, {w for _, text in items for w in words(text)})
-    sent = docs.sparkSession.sparkContext.broadcast(Index(items, often))
+    index = Index.of(items, often)
+    sent = docs.sparkSession.sparkContext.broadcast((index.names, index.by_word))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index = Index(*sent.value)
         for batch in batches:
             yield emit(batch, index)
 
@@ -184,6 +189,17 @@ def merged(docs: DataFrame, blocks_: Iterator[list[tuple[str, bytes]]]) -> DataF
     return both.mapInArrow(run, RESULT)
 
 
+def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The rows of docs that hold no window of any item."""
+
+    def keep(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
+        return batch.filter(pa.array([not index.hits(words(t))[0] for t in texts(batch)], pa.bool_()))
+
+    for block in blocks(bench):
+        docs = probe(docs, block, docs.schema, keep)
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

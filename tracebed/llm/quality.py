@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD
 
 #: Ratios on which rules may set thresholds.
 MEASURES = {
@@ -154,10 +154,12 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def train(stats: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[Rule]:
-    marked = labels.where("quality is not null").select("doc_id", (F.col("quality") == 0).cast("int").alias("poor"))
-    rows = measured(stats).join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "poor").limit(sample)
-    return learn([tuple(r) for r in rows.select(*MEASURES, "poor").collect()], list(MEASURES))
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[Rule]:
+    """Only the sampled rows are measured; their doc_ids, at most `sample`, are what the join broadcasts."""
+    marked = labels.where("quality is not null and doc_id is not null").select("doc_id", (F.col("quality") == 0).cast("int").alias("poor"))
+    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "poor").limit(sample)
+    rows = measured(statistics(docs.join(F.broadcast(marked), "doc_id"), carry=("poor",)))
+    return learn([tuple(r) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "poor").select(*MEASURES, "poor").limit(sample).collect()], list(MEASURES))
 
 
 def judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -165,7 +167,16 @@ def judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that neither the base rule nor the learned list rejects."""
+    rules, columns = train(docs, labels), docs.columns
+    stats = statistics(docs.withColumn("__row", F.struct(*columns)), carry=("__row",))
+    # A filter on what is not deterministic stays above the statistics; pushed below, it would repeat them for each use.
+    out = judged(stats.withColumn("__at", F.monotonically_increasing_id()), rules)
+    return out.where("kept and __at >= 0").select(*[F.col("__row")[c].alias(c) for c in columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = written(statistics(spark.read.parquet(f"{sf_dir}/documents.parquet")), "quality")
-    rules = train(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rules = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged(statistics(docs), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

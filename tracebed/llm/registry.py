@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import blocks, chat, decontaminate, html, mixing, quality, simhash, suffixes, warc
+from . import blocks, chat, decontaminate, html, mixing, quality, simhash, suffixes, tokens, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_decontamination": decontaminate.query,
     "op8_html_text": html.query,
     "op9_simhash": simhash.query,
+    "op10_token_shards": tokens.query,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE,

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import input_bytes, mix64, utf8, written
 from .components import components
@@ -180,6 +181,112 @@ def linked(docs: DataFrame, size: int = 3, limit: int = 2, segments: int = 4) ->
     return marks.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+# --- groups of near copies, for a filter -------------------------------------------------------------------------------
+#
+# Copies at a similarity of 0.8 of five-word shingles differ in 15 % of a fingerprint's bits. 64 bits are too few to tell
+# them from others by a small distance, so here fingerprints have 512 bits, cut into 36 segments of 14. Two documents
+# of similarity 0.8 share an equal segment with a probability of 0.98 (0.85: 0.996), and are linked if they differ in
+# at most 90 bits: two standard deviations above what 0.8 gives, far below what other documents do (256).
+
+LANES, SEGMENTS, WIDTH, FAR = 8, 36, 14, 90
+
+
+def segment_keys(bits: np.ndarray) -> np.ndarray:
+    """bits: rows of LANES 64-bit words. The key of each segment."""
+    flat = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * WIDTH]
+    return flat.reshape(len(bits), SEGMENTS, WIDTH).astype(np.int64) @ (1 << np.arange(WIDTH))
+
+
+def grown(bits: np.ndarray, limit: int) -> np.ndarray:
+    """The first member of each row's group: whatever links reach, found by spreading from row to row.
+
+    A row that has been reached is not compared as a target again, so in a group of copies the rest shrinks at once."""
+    root = np.arange(len(bits))
+    pool = np.arange(len(bits))
+    while len(pool):
+        first, pool = pool[0], pool[1:]
+        reach = [first]
+        while reach and len(pool):
+            hit = np.bitwise_count(bits[pool] ^ bits[reach.pop()]).sum(axis=1) <= limit
+            found = pool[hit]
+            root[found] = first
+            reach.extend(found.tolist())
+            pool = pool[~hit]
+    return root
+
+
+def wide_links(nodes: DataFrame, limit: int = FAR) -> DataFrame:
+    """nodes: node, bits. Links a, b of nodes with an equal segment that differ in at most `limit` bits."""
+    buckets = max(8, input_bytes(nodes) // (1 << 20))
+    schema = "bucket int, nodes binary, keys binary, bits binary"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            node = batch.column("node").to_numpy()
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, LANES)
+            keys = segment_keys(bits) + (np.arange(SEGMENTS) << WIDTH)
+            key, row = keys.ravel(), np.repeat(np.arange(len(node)), SEGMENTS)
+            bucket = (mix64(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            out = {k: [] for k in ("bucket", "nodes", "keys", "bits")}
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                own = by[cut[b] : cut[b + 1]]
+                out["bucket"].append(b)
+                out["nodes"].append(node[row[own]].tobytes())
+                out["keys"].append(key[own].astype(np.int32).tobytes())
+                out["bits"].append(bits[row[own]].tobytes())
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()})
+
+    def compare(t: pa.Table) -> pa.Table:
+        read = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+        node, key, bits = read("nodes", np.int64), read("keys", np.int32), read("bits", np.uint64).reshape(-1, LANES)
+        by = np.lexsort((node, key))
+        node, key, bits = node[by], key[by], bits[by]
+        run = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
+        size = np.diff(run)
+        a, b = [], []
+        small = np.repeat(size <= 64, size)
+        for d in range(1, 64):  # pairs at a distance of d rows in one run
+            i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d]) if d < len(key) else []
+            if not len(i):
+                break
+            hit = i[np.bitwise_count(bits[i] ^ bits[i + d]).sum(axis=1) <= limit]
+            a.append(node[hit + d])
+            b.append(node[hit])
+        for s, n in zip(run[:-1][size > 64].tolist(), size[size > 64].tolist(), strict=True):
+            root = grown(bits[s : s + n], limit)
+            linked_ = np.flatnonzero(root != np.arange(n))
+            a.append(node[s + linked_])
+            b.append(node[s + root[linked_]])
+        none = [np.zeros(0, np.int64)]
+        both = np.unique(np.stack((np.concatenate(a + none), np.concatenate(b + none)), axis=1), axis=0)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return nodes.mapInArrow(deal, schema).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(compare, "a bigint, b bigint")
+
+
+def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest doc_id stays."""
+    columns, schema = docs.columns, docs.schema
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = utf8(batch.column("text"))
+            data = buf.tobytes()
+            bits = [fingerprint(data[a:b].lower().split(), size, LANES).tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.binary())], [*batch.schema.names, "__bits"])
+
+    marked = written(docs.mapInArrow(mark, T.StructType([*schema.fields, T.StructField("__bits", T.BinaryType())])).withColumn("__row", F.monotonically_increasing_id()), "marked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__row"))
+    nodes = written(marked.groupBy("__bits").agg(F.min("__row").alias("node"), first.alias("first")).withColumnRenamed("__bits", "bits"), "nodes")
+    roots = components(wide_links(nodes.select("node", "bits")))
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    return marked.join(kept, "__row", "left_semi").select(*columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
