@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, slices, utf8, written
+from .common import Rolling, mix64, slices, utf8, written
 from .packed import ASK, answer, ask_rows, bucket_of, chunked, cuts, per_chunk, replied, split_back
 
 NEED = 200
@@ -82,7 +82,8 @@ def segments(buf: np.ndarray, off: np.ndarray, need: int = NEED):
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)))
         p1 = start[new]
         p2 = start[np.concatenate((new[1:], [True]))]
-        found.append((g[anchor[new]], first.of(p1, p2 + need), p1 + lo, p2 + lo))
+        # Minima crowd at the low end; mixed again they fill all buckets alike.
+        found.append((mix64(g[anchor[new]]), first.of(p1, p2 + need), p1 + lo, p2 + lo))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
