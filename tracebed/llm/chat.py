@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import known, parts
 from .template import Event, compiled
 
 TEMPLATE = "{% for m in messages %}### {{ m.role | name }}: {% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}</turn>\n{% endfor %}"
@@ -89,7 +89,7 @@ class Reader:
 def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """RESULT for each conversation."""
     compiled(template, FILTERS)  # errors show here, not in tasks
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = known(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compiled(template, FILTERS)
@@ -118,7 +118,7 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
         if out:
             yield pack()
 
-    n = parts(conversations, 8 << 20)
+    n = parts(rows, 8 << 20)
     return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, RESULT)
 
 

@@ -49,6 +49,11 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def known(df: DataFrame) -> DataFrame:
+    """df, or a written copy if Catalyst cannot tell its size (data from the driver or an RDD, say)."""
+    return df if input_bytes(df) < 1 << 50 else written(df, "input")
+
+
 def parts(df: DataFrame, each: int, least: int = 8, most: int = 1_000_000) -> int:
     """How many pieces of about `each` bytes df makes."""
     return max(least, min(most, -(-input_bytes(df) // each)))

@@ -67,16 +67,17 @@ class Lines(HTMLParser):
         self.kinds: list[str] = []  # of containers
         self.inside: tuple[int, ...] = ()
         self.parts: list[str] = []
+        self.put_by: list[str] = []  # text of this line that is put aside: an inline element may be, within a block
         self.tags = 0
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
 
     def end_line(self) -> None:
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.lines.append((text, self.tags, self.aside > 0, self.inside))
+        for parts, aside in ((self.parts, False), (self.put_by, True)):
+            if parts and (text := " ".join("".join(parts).split())):
+                self.lines.append((text, self.tags, aside, self.inside))
                 self.tags = 0
-            self.parts = []
+        if self.parts or self.put_by:
+            self.parts, self.put_by = [], []
 
     def pop(self) -> None:
         tag, aside, container = self.open.pop()
@@ -138,8 +139,7 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if data:
-            self.parts.append(data)
+        (self.put_by if self.aside else self.parts).append(data)
 
 
 def smoothed(ratios: list[float], radius: int = 2, sigma: float = 1.0) -> list[float]:

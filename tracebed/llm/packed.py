@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import known, parts
 
 ASK = "step int, bucket int, chunk int, keys binary, extra binary"
 ANSWER = "step int, chunk int, bucket int, bits binary"
@@ -25,8 +25,8 @@ CHUNK_BYTES = 2 << 20  # of the files read, about twice as much text
 
 def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     """doc_id, text and chunk; the number of chunks."""
-    n = parts(docs, CHUNK_BYTES)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    text = known(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")))
+    n = parts(text, CHUNK_BYTES)
     # Null doc_ids are spread by their text.
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     # With their number named, partitions are not coalesced: work here follows rows, not bytes.
