@@ -42,7 +42,7 @@ def unpack_float(nibble: int, data: bytes) -> float:
 
 def extended(data: bytes) -> float:
     """An 80-bit x87 number as a double."""
-    mantissa, head = struct.unpack("<QH", data)
+    mantissa, head = struct.unpack("<QH", data[:10])
     sign, exponent = (-1.0 if head >> 15 else 1.0), head & 0x7FFF
     if exponent == 0x7FFF:
         return sign * float("inf") if mantissa << 1 & (1 << 64) - 1 == 0 else float("nan")
