@@ -96,6 +96,15 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return node, label[node]
 
 
+def thinned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of links between any nodes: each to the smallest that these links lead to."""
+    if not len(a):
+        return a, b
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    node, root = forest(at[: len(a)], at[len(a) :], len(nodes))
+    return nodes[node], nodes[root]
+
+
 def near(fps: np.ndarray, limit: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of fingerprints under one key: the pigeonring's chains first, then the whole distance."""
     width = 64 // segments
@@ -159,7 +168,8 @@ def links(fps: DataFrame, limit: int = 2, segments: int = 4) -> DataFrame:
             node, root = forest(*near(own.view(np.uint64), limit, segments), n)
             out_a.append(own[node])
             out_b.append(own[root])
-        yield pa.RecordBatch.from_pydict({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+        a, b = thinned(np.concatenate(out_a), np.concatenate(out_b))
+        yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     near_links = cold.repartition(buckets, "pair", "key").mapInArrow(compare, schema)
     free = F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(64)])
@@ -262,8 +272,8 @@ def wide_links(nodes: DataFrame, limit: int = FAR) -> DataFrame:
             a.append(node[s + linked_])
             b.append(node[s + root[linked_]])
         none = [np.zeros(0, np.int64)]
-        both = np.unique(np.stack((np.concatenate(a + none), np.concatenate(b + none)), axis=1), axis=0)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+        a, b = thinned(np.concatenate(a + none), np.concatenate(b + none))
+        return pa.table({"a": a, "b": b})
 
     return nodes.mapInArrow(deal, schema).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(compare, "a bigint, b bigint")
 
