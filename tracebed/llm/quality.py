@@ -163,17 +163,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[Rule
 
 
 def judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
-    out = measured(stats).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    # What is not deterministic keeps a filter on `kept` above the statistics; pushed below, it would repeat them for each use.
+    out = measured(stats.withColumn("__at", F.monotonically_increasing_id())).withColumn("base_failed", base_failed())
+    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules) & (F.col("__at") >= 0)).drop("__at")
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that neither the base rule nor the learned list rejects."""
     rules, columns = train(docs, labels), docs.columns
     stats = statistics(docs.withColumn("__row", F.struct(*columns)), carry=("__row",))
-    # A filter on what is not deterministic stays above the statistics; pushed below, it would repeat them for each use.
-    out = judged(stats.withColumn("__at", F.monotonically_increasing_id()), rules)
-    return out.where("kept and __at >= 0").select(*[F.col("__row")[c].alias(c) for c in columns])
+    return judged(stats, rules).where("kept").select(*[F.col("__row")[c].alias(c) for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
