@@ -166,13 +166,19 @@ def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return merged(slim, chain([first, second], from_blocks))
 
 
+def hit_rows(rows: DataFrame, blocks_: Iterator[list[tuple[str, bytes]]]) -> DataFrame:
+    """rows: a written table. A row for each document and block with a hit; each block reads the table twice."""
+    schema, found = "row bigint, starts array<int>, ends array<int>, items array<string>", None
+    for block in blocks_:
+        part = probe(rows.select("__row", "text"), block, schema, several_blocks)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def merged(docs: DataFrame, blocks_: Iterator[list[tuple[str, bytes]]]) -> DataFrame:
     # Rows are numbered once, in a written table: doc_ids may repeat.
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-    found = None
-    for block in blocks_:
-        part = probe(rows, block, "row bigint, starts array<int>, ends array<int>, items array<string>", several_blocks)
-        found = part if found is None else found.unionByName(part)
+    found = hit_rows(rows, blocks_)
     flat = found.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
     both = rows.join(flat, rows["__row"] == flat["row"], "left").select("doc_id", "text", "starts", "ends", "items")
 
@@ -195,9 +201,13 @@ def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     def keep(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
         return batch.filter(pa.array([not index.hits(words(t))[0] for t in texts(batch)], pa.bool_()))
 
-    for block in blocks(bench):
-        docs = probe(docs, block, docs.schema, keep)
-    return docs
+    from_blocks = blocks(bench)
+    first, second = next(from_blocks, []), next(from_blocks, None)
+    if second is None:
+        return probe(docs, first, docs.schema, keep)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
+    hit = hit_rows(rows, chain([first, second], from_blocks)).select(F.col("row").alias("__row"))
+    return rows.join(hit, "__row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

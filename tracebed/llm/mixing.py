@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key. The key's leading digits cut each source into 4096 ranges of equal share;
-the ranges' sums give distributed prefix sums, and only rows of one range are ever sorted together. Each source is
+Every document gets a hash-random key. The key's leading digits cut each source into ranges of equal share, 4096 or,
+of a large input, as many as keep each near `RANGE_BYTES`; the ranges' sums give distributed prefix sums, and only
+rows of one range are ever sorted together. Prefix sums are exact, so the number of ranges does not show. Each source is
 cut at its exact budget, after as many whole epochs as the budget holds.
 
 Nulls: a null text has size 0, a null source is a source of its own and ranks last, a null doc_id has a key of its own.
@@ -14,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, parts, written
 
-DIGITS = 3  # hexadecimal digits of the key that name its range
+RANGE_BYTES = 256 << 20
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -46,7 +47,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, se
     """doc_id, source, size, source_size, target, taken (words, repeats counted), for each document."""
     name = F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     base = written(sized(docs).select("doc_id", "source", "size", F.md5(name).alias("key"), *carry), "mix")
-    base = base.withColumn("range", F.substring("key", 1, DIGITS))
+    digits = len(f"{parts(base, RANGE_BYTES, least=1 << 8):x}")  # hexadecimal digits of the key that name its range
+    base = base.withColumn("range", F.substring("key", 1, digits))
     same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) for c in cols]
     sums = base.groupBy("source", "range").agg(F.sum("size").alias("sum"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
