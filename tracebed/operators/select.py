@@ -16,7 +16,7 @@ from .render import with_dictionary
 def by_severity(events: DataFrame, dictionary: DataFrame, level: int = NOTICE) -> DataFrame:
     """Messages at least as severe as level, which is clamped to the known ones; level 0 keeps none."""
     keep = dictionary.where(F.col("severity") <= max(0, min(DEBUG, level))).where("severity > 0")
-    return events.join(F.broadcast(keep.select(*KEY, "severity")), list(KEY))
+    return with_dictionary(events, keep.select(*KEY, "severity"))
 
 
 def by_id(events: DataFrame, log_id: int) -> DataFrame:
