@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_bytes, mix64, utf8, written
+from .common import input_bytes, mix64, parts, utf8, written
 from .components import components
 
 HOT = 20_000
@@ -193,89 +193,171 @@ def linked(docs: DataFrame, size: int = 3, limit: int = 2, segments: int = 4) ->
 
 # --- groups of near copies, for a filter -------------------------------------------------------------------------------
 #
-# Copies at a similarity of 0.8 of five-word shingles differ in 15 % of a fingerprint's bits. 64 bits are too few to tell
-# them from others by a small distance, so here fingerprints have 512 bits, cut into 36 segments of 14. Two documents
-# of similarity 0.8 share an equal segment with a probability of 0.98 (0.85: 0.996), and are linked if they differ in
-# at most 90 bits: two standard deviations above what 0.8 gives, far below what other documents do (256).
+# Two documents are linked if the sets of their five-word shingles have a similarity (Jaccard) of 0.8 or more, and it is
+# the sets that decide. Candidates are complete: if every set is put in one order of all shingles, two sets of that
+# similarity share a shingle among the first n - ceil(0.8 n) + 1 of each, and the first that they share leaves room for
+# the overlap that 0.8 asks for. The order is by rarity, as far as a table of counts of fixed size tells it; any
+# order is complete, this one makes few candidates. Fingerprints could not do this: 0.8 is some 75 to 100 of 512 bits, and
+# the pigeonring's keys for so many differences hold about a fifth of all pairs.
+#
+# Equal sets are one node, named by 64 bits of their hash; shingles are 64-bit hashes. So results are whole but for
+# collisions of these. A shingle of more than `RUN` nodes is first compared along its ring, and then only between
+# components that this has left apart.
+
+COUNTERS, BLOCKS, RUN, RING = 1 << 20, 16, 16, 8
+WORDS: dict[bytes, int] = {}
+
 
-LANES, SEGMENTS, WIDTH, FAR = 8, 36, 14, 90
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """The hashes of all runs of `size` words, each once and sorted; of all words, if they are fewer."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(WORDS) > 1 << 18:
+        WORDS.clear()
+    for w in set(words).difference(WORDS):
+        WORDS[w] = xxhash.xxh64_intdigest(w)
+    h = np.array([WORDS[w] for w in words], np.uint64)
+    size = min(size, len(h))
+    out = np.full(len(h) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)])
+    return np.unique(out)
+
+
+def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    buf, off = utf8(column)
+    data = buf.tobytes()
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        yield shingle_set(data[a:b].lower().split(), size)
+
+
+def rarity(docs: DataFrame, size: int) -> np.ndarray:
+    """About how many documents have a shingle, by its hash modulo COUNTERS."""
+    each = COUNTERS // BLOCKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in shingle_sets(batch.column("text"), size):
+                np.add.at(counts, s.astype(np.int64) & COUNTERS - 1, 1)
+        if counts.any():
+            low = np.minimum(counts, 65535).astype(np.uint16).reshape(BLOCKS, each)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "counts": pa.array([r.tobytes() for r in low], pa.binary())})
 
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_py(), np.uint16).astype(np.int64) for c in t.column("counts"))
+        return pa.table({"block": t.column("block")[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
-def segment_keys(bits: np.ndarray) -> np.ndarray:
-    """bits: rows of LANES 64-bit words. The key of each segment."""
-    flat = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * WIDTH]
-    return flat.reshape(len(bits), SEGMENTS, WIDTH).astype(np.int64) @ (1 << np.arange(WIDTH))
+    out = np.zeros((BLOCKS, each), np.uint32)
+    schema = "block int, counts binary"
+    for r in docs.select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect():
+        out[r.block] = np.frombuffer(r.counts, np.uint32)
+    return out.ravel()
 
 
-def grown(bits: np.ndarray, limit: int) -> np.ndarray:
-    """The first member of each row's group: whatever links reach, found by spreading from row to row.
+def together(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> np.ndarray:
+    """Whether sets of na and nb can be similar, if the first shingle they share is the pa_-th of one, the pb-th of the other."""
+    return 9 * np.minimum(na - pa_, nb - pb) >= 4 * (na + nb)
 
-    A row that has been reached is not compared as a target again, so in a group of copies the rest shrinks at once."""
-    root = np.arange(len(bits))
-    pool = np.arange(len(bits))
-    while len(pool):
-        first, pool = pool[0], pool[1:]
-        reach = [first]
-        while reach and len(pool):
-            hit = np.bitwise_count(bits[pool] ^ bits[reach.pop()]).sum(axis=1) <= limit
-            found = pool[hit]
-            root[found] = first
-            reach.extend(found.tolist())
-            pool = pool[~hit]
-    return root
 
+def ring_pairs(n: np.ndarray, place: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one run that may be similar, those at distances of up to `most`."""
+    for d in range(1, min(most, len(n) - 1) + 1):
+        i = np.flatnonzero(together(n[:-d], n[d:], place[:-d], place[d:]))
+        yield i + d, i
 
-def wide_links(nodes: DataFrame, limit: int = FAR) -> DataFrame:
-    """nodes: node, bits. Links a, b of nodes with an equal segment that differ in at most `limit` bits."""
-    buckets = max(8, input_bytes(nodes) // (1 << 20))
-    schema = "bucket int, nodes binary, keys binary, bits binary"
+
+def candidates(marked: DataFrame, size: int) -> DataFrame:
+    """a, b: pairs to compare, some of them often. Where b is null, a is a node of a run of over RUN, with key, n, place."""
+    counts = marked.sparkSession.sparkContext.broadcast(rarity(marked, size))
+    buckets = parts(marked, 1 << 20)
+    row = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            node = batch.column("node").to_numpy()
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, LANES)
-            keys = segment_keys(bits) + (np.arange(SEGMENTS) << WIDTH)
-            key, row = keys.ravel(), np.repeat(np.arange(len(node)), SEGMENTS)
-            bucket = (mix64(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            held, seen = [np.zeros(0, row)], set()
+            for node, s in zip(batch.column("__node").to_pylist(), shingle_sets(batch.column("text"), size), strict=True):
+                if node in seen or not len(s):
+                    continue
+                seen.add(node)
+                first = len(s) - -(-4 * len(s) // 5) + 1
+                at = np.lexsort((s, counts.value[s.astype(np.int64) & COUNTERS - 1]))[:first]
+                rows = np.empty(len(at), row)
+                rows["key"], rows["node"], rows["n"], rows["place"] = s[at], node, len(s), np.arange(len(at))
+                held.append(rows)
+            rows = np.concatenate(held)
+            bucket = (mix64(rows["key"]) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            out = {k: [] for k in ("bucket", "nodes", "keys", "bits")}
-            for b in np.flatnonzero(np.diff(cut)).tolist():
-                own = by[cut[b] : cut[b + 1]]
-                out["bucket"].append(b)
-                out["nodes"].append(node[row[own]].tobytes())
-                out["keys"].append(key[own].astype(np.int32).tobytes())
-                out["bits"].append(bits[row[own]].tobytes())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()})
-
-    def compare(t: pa.Table) -> pa.Table:
-        read = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        node, key, bits = read("nodes", np.int64), read("keys", np.int32), read("bits", np.uint64).reshape(-1, LANES)
-        by = np.lexsort((node, key))
-        node, key, bits = node[by], key[by], bits[by]
-        run = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
-        size = np.diff(run)
-        a, b = [], []
-        small = np.repeat(size <= 64, size)
-        for d in range(1, 64):  # pairs at a distance of d rows in one run
-            i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d]) if d < len(key) else []
-            if not len(i):
-                break
-            hit = i[np.bitwise_count(bits[i] ^ bits[i + d]).sum(axis=1) <= limit]
-            a.append(node[hit + d])
-            b.append(node[hit])
-        for s, n in zip(run[:-1][size > 64].tolist(), size[size > 64].tolist(), strict=True):
-            root = grown(bits[s : s + n], limit)
-            linked_ = np.flatnonzero(root != np.arange(n))
-            a.append(node[s + linked_])
-            b.append(node[s + root[linked_]])
-        none = [np.zeros(0, np.int64)]
-        a, b = thinned(np.concatenate(a + none), np.concatenate(b + none))
-        return pa.table({"a": a, "b": b})
-
-    return nodes.mapInArrow(deal, schema).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(compare, "a bigint, b bigint")
+            at = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
+            packed = [rows[by[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[by[at[:-1]]], pa.int32()), "rows": pa.array(packed, pa.binary())})
+
+    def meet(t: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(t.column("rows").to_pylist()), row)
+        rows = rows[np.lexsort((rows["node"], rows["key"]))]
+        rows = rows[np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["node"][1:] != rows["node"][:-1])))]  # equal sets meet as one
+        at = np.append(np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1]))), len(rows))
+        size_ = np.diff(at)
+        a, b, hot = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, row)]
+        for s, e in zip(at[:-1][size_ > 1].tolist(), at[1:][size_ > 1].tolist(), strict=True):
+            own = rows[s:e]
+            for i, k in ring_pairs(own["n"], own["place"], RING if len(own) > RUN else RUN):
+                a.append(own["node"][i])
+                b.append(own["node"][k])
+            if len(own) > RUN:
+                hot.append(own)
+        pair = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1)
+        own = np.concatenate(hot)
+        none = pa.nulls(pair.shape[1], pa.int64())
+        lists = ((pair[0], own["node"]), (pair[1], None), (None, own["key"].view(np.int64)), (None, own["n"]), (None, own["place"]))
+        fill = lambda x, n: pa.nulls(n, pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).astype(np.int64))
+        return pa.table({c: pa.chunked_array([fill(x, len(none)), fill(y, len(own))]) for c, (x, y) in zip(("a", "b", "key", "n", "place"), lists, strict=True)})
+
+    dealt = marked.select("__node", "text").mapInArrow(deal, "bucket int, rows binary")
+    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, key bigint, n bigint, place bigint")
+
+
+def apart(hot: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: the pairs of each run that may be similar and are in different components."""
+    placed = hot.join(roots, hot["a"] == roots["node"], "left").select("key", "a", "n", "place", F.coalesce("root", "a").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    left = placed.join(mixed, "key", "left_semi")
+
+    def cross(t: pa.Table) -> pa.Table:
+        a, n, place, root = (t.column(c).to_numpy() for c in ("a", "n", "place", "root"))
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, k in ring_pairs(n, place, len(n)):
+            other = root[i] != root[k]
+            out_a.append(a[i[other]])
+            out_b.append(a[k[other]])
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    return left.groupBy("key").applyInArrow(cross, "a bigint, b bigint")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """pairs: a, b. Those whose sets of shingles have a similarity of 0.8 or more. texts: node, text."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s.tobytes() for s in shingle_sets(batch.column("text"), size)]
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "shingles": pa.array(found, pa.binary())})
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = np.concatenate((x, y))
+                both.sort()
+                keep.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    own = written(texts.join(wanted, "node", "left_semi").mapInArrow(sets, "node bigint, shingles binary"), "sets")
+    with_a = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    return written(with_a.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "similar")
 
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -284,15 +366,19 @@ def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = utf8(batch.column("text"))
-            data = buf.tobytes()
-            bits = [fingerprint(data[a:b].lower().split(), size, LANES).tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.binary())], [*batch.schema.names, "__bits"])
+            nodes = [xxhash.xxh64_intdigest(s.tobytes()) for s in shingle_sets(batch.column("text"), size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(nodes, np.uint64).view(np.int64))], [*batch.schema.names, "__node"])
 
-    marked = written(docs.mapInArrow(mark, T.StructType([*schema.fields, T.StructField("__bits", T.BinaryType())])).withColumn("__row", F.monotonically_increasing_id()), "marked")
+    marked = written(docs.mapInArrow(mark, T.StructType([*schema.fields, T.StructField("__node", T.LongType())])).withColumn("__row", F.monotonically_increasing_id()), "marked")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__row"))
-    nodes = written(marked.groupBy("__bits").agg(F.min("__row").alias("node"), first.alias("first")).withColumnRenamed("__bits", "bits"), "nodes")
-    roots = components(wide_links(nodes.select("node", "bits")))
+    nodes = written(marked.groupBy(F.col("__node").alias("node")).agg(first.alias("first")), "nodes")
+    texts = marked.join(nodes.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(F.col("__node").alias("node"), "text")
+    found = written(candidates(marked, size), "candidates")
+    links = similar(found.where("b is not null").select("a", "b"), texts, size)
+    roots = components(links)
+    hot = found.where("b is null").select("a", "key", "n", "place")
+    if not hot.isEmpty():
+        roots = components(links.unionByName(similar(apart(hot, roots), texts, size)))
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     return marked.join(kept, "__row", "left_semi").select(*columns)
 
