@@ -3,9 +3,9 @@
 The standard library's parser streams a page as events; a line is what stands between two block boundaries. Lines in
 elements that are never the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 reader comments, by tag, role or words of class and id) are put aside. Of the others the ratio of text to tags is
-smoothed with a Gaussian and split at one standard deviation into content and the rest; the region is the article
-element with most content, or, without one, the innermost element that holds nearly all content. Every line of the
-region is kept, short ones too, as a block.
+smoothed with a Gaussian and split at one standard deviation into content and the rest; the region is all article
+elements, or the main element if it has more content, where these hold most of the content; else it is the innermost
+element that holds all content and a heading before it. Every line of the region is kept, short ones too, as a block.
 
 Nulls: a null html is empty; pages without text have the empty string; null ids, null urls and repeated rows keep
 their rows. Unclosed and misnested tags are closed as browsers do. An empty table gives an empty result.
@@ -70,11 +70,13 @@ class Lines(HTMLParser):
         self.put_by: list[str] = []  # text of this line that is put aside: an inline element may be, within a block
         self.tags = 0
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.headings: list[bool] = []  # of lines
 
     def end_line(self) -> None:
         for parts, aside in ((self.parts, False), (self.put_by, True)):
             if parts and (text := " ".join("".join(parts).split())):
                 self.lines.append((text, self.tags, aside, self.inside))
+                self.headings.append(any(t in HEADING for t, _, _ in self.open))
                 self.tags = 0
         if self.parts or self.put_by:
             self.parts, self.put_by = [], []
@@ -159,6 +161,25 @@ def content(lines: list[tuple[str, int, bool, tuple[int, ...]]]) -> list[bool]:
     return [r >= deviation and not line[2] for r, line in zip(ratios, lines, strict=True)]
 
 
+def region(parser: Lines, lines: list[tuple[str, int, bool, tuple[int, ...]]], weight: dict[int, int], total: int) -> set[int] | None:
+    """The containers whose lines are kept; None: all lines."""
+    articles = {c for c, kind in enumerate(parser.kinds) if kind == "article"}
+    mains = {c for c, kind in enumerate(parser.kinds) if kind == "main"}
+    hits = content(lines)
+    if not any(hits):
+        hits = [not line[2] for line in lines]
+    held = [(sum(len(line[0]) for hit, line in zip(hits, lines, strict=True) if hit and not own.isdisjoint(line[3])), own) for own in (articles, mains)]
+    most, named = max(held, key=lambda x: x[0])  # of equals the articles
+    if 2 * most > total:
+        return named
+    whole = [c for c in sorted(weight) if weight[c] == total]  # containers are numbered as they open: the innermost is last
+    first = hits.index(True)
+    for c in reversed(whole):
+        if any(h and not line[2] and c in line[3] for h, line in zip(parser.headings[: first + 1], lines, strict=False)):
+            return {c}
+    return {whole[-1]} if whole and not any(h and not line[2] for h, line in zip(parser.headings[: first + 1], lines, strict=False)) else None
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
@@ -181,16 +202,8 @@ def main_text(html: str) -> str:
                 total += len(text)
                 for c in inside:
                     weight[c] = weight.get(c, 0) + len(text)
-    region = None
-    for kind in ("article", "main"):
-        named = [c for c in weight if parser.kinds[c] == kind]
-        if named:
-            region = max(named, key=lambda c: (weight[c], -c))
-            break
-    if region is None:
-        most = [c for c in weight if 10 * weight[c] >= 9 * total]
-        region = max(most, default=None)  # containers are numbered as they open: the innermost
-    return "\n\n".join(text for text, _, aside, inside in lines if not aside and (region is None or region in inside))
+    inside_of = region(parser, lines, weight, total)
+    return "\n\n".join(text for text, _, aside, inside in lines if not aside and (inside_of is None or not inside_of.isdisjoint(inside)))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
