@@ -22,3 +22,17 @@ PARTS = [(LONG * 6).strip()] * 5
 )
 def test_region(page, blocks):
     assert html.main_text(page).split("\n\n") == blocks
+
+
+@pytest.mark.parametrize("attrs", ["class='layout has-sidebar'", "id='wrapper' class='header-fixed'", "class='with-sidebar'", "class='text-navy'", "class='page sidebar'", "class='menu'"])
+def test_layout_wrappers(attrs):
+    page = f"<body><div {attrs}><article><h1>T</h1>{MUCH}</article><div class=sidebar><p>{LONG}</p></div></div></body>"
+    assert html.main_text(page).split("\n\n") == ["T", *PARTS]
+    assert html.main_text(f"<body><div {attrs}><p>{LONG}</p></div></body>") == TEXT
+
+
+def test_comments_stay_aside():
+    assert html.main_text(f"<body><div class=post><p>{LONG * 3}</p></div><div id=comments>{MUCH}</div></body>") == (LONG * 3).strip()
+    assert html.main_text(f"<body><div class=comments><p>{LONG}</p></div></body>") == TEXT  # nothing else is left
+    assert html.main_text(f"<body><div class=ad>{MUCH}</div><article><p>{LONG}</p></article></body>") == TEXT
+    assert html.main_text(f"<body><div class=sidebar>{MUCH}</div><article><p>{LONG}</p></article></body>") == TEXT

@@ -2,7 +2,8 @@
 
 The standard library's parser streams a page as events; a line is what stands between two block boundaries. Lines in
 elements that are never the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments, by tag, role or words of class and id) are put aside. Of the others the ratio of text to tags is
+reader comments, by tag, role or words of class and id) are put aside. Words of layout do not count, nor do class and
+id of an element with a main element or most of the text, comments, adverts and teasers excepted, nor any if nothing is left. Of the others the ratio of text to tags is
 smoothed with a Gaussian and split at one standard deviation into content and the rest; the region is all article
 elements, or the main element if it has more content, where these hold most of the content; else it is the innermost
 element that holds all content and a heading before it. Every line of the region is kept, short ones too, as a block.
@@ -34,6 +35,10 @@ ASIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widgets?|footer|header|masthead|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|search\w*|toolbar|skip|copyright|disclaimer|alert|topbar|paywall)(?=$|[\s_-])",
     re.I,
 )
+#: Words of layout: a wrapper that has a sidebar, say, is none.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:(?:has|with|without|no|text|bg)[_-]\S*|\S*[_-](?:fixed|layout|wrapper|wrap|container))(?=$|\s)|(?<![^\s])\S*[_-](?:has|with|without|no)[_-]\S*", re.I)
+#: What readers write, adverts and other pages' teasers are no article, however long.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|replies|reply|related|recommend\w*)(?=$|[\s_-])", re.I)
 #: Elements that these start tags close.
 CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "optgroup": "option optgroup"}
 CLOSED_BY = {k: frozenset(v.split()) for k, v in CLOSED_BY.items()}
@@ -41,14 +46,20 @@ SCOPE = frozenset("article body div dl html main nav ol section table ul".split(
 ENDS_P = BLOCK - frozenset("caption head html body optgroup option tbody tfoot thead title tr li dd dt legend".split()) | frozenset(("li", "dd", "dt"))
 
 
+def named_aside(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+    """Whether class or id name an element that is put aside, and whether it is so whatever it holds."""
+    names = [LAYOUT.sub(" ", v) for k, v in attrs if k in ("class", "id") and v]
+    aside = tag not in ("html", "body", "article", "main") and any(ASIDE.search(v) for v in names)
+    return aside, aside and any(OTHERS.search(v) for v in names)
+
+
 def put_aside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Whether an element is put aside by its tag, its role or its style."""
     if tag in NEVER or tag == "header" and not in_article:
         return True
     for k, v in attrs:
         if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v and v.lower() in ROLES or k == "aria-modal":
             return True
-        if k in ("class", "id") and v and tag not in ("html", "body", "article", "main") and ASIDE.search(v):
-            return True
         if k in ("class", "id") and v and tag == "article" and re.search(r"(?:^|[\s_-])(?:comments?|reply|replies|related|promo\w*|teaser\w*|ads?)(?=$|[\s_-])", v, re.I):
             return True
         if k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
@@ -59,9 +70,20 @@ def put_aside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -
 class Lines(HTMLParser):
     """Collects the lines of a page: text, number of tags, whether it is put aside, and its containers."""
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] | None = frozenset()) -> None:
+        """spared: the elements whose class and id do not count, by number; None: all."""
         super().__init__(convert_charrefs=True)
+        self.spared = spared
+        self.named: list[tuple[int, bool]] = []  # open elements that class or id put aside: number, whatever they hold
+        self.named_seen = 0
+        self.firm = 0  # open elements that are put aside otherwise
+        self.holds: dict[int, int] = {}  # characters in a named element, as far as nothing firm in it puts them aside
+        self.holds_main: set[int] = set()
+        self.holds_article: set[int] = set()
+        self.has_article = False  # or main, not put aside by anything firm
+        self.loose = 0  # characters that nothing firm puts aside
         self.open: list[tuple[str, bool, int]] = []  # tag, whether it puts aside, container or -1
+        self.marks: list[tuple[bool, bool]] = []  # of open elements: whether they are named aside, and firm
         self.aside = 0
         self.articles = 0
         self.kinds: list[str] = []  # of containers
@@ -83,7 +105,11 @@ class Lines(HTMLParser):
 
     def pop(self) -> None:
         tag, aside, container = self.open.pop()
+        named, firm = self.marks.pop()
         self.aside -= aside
+        self.firm -= firm
+        if named:
+            self.named.pop()
         if container >= 0:
             self.inside = self.inside[:-1]
             self.articles -= tag == "article"
@@ -113,7 +139,18 @@ class Lines(HTMLParser):
             self.close_within({"p"})
         if tag in CLOSED_BY:
             self.close_within(CLOSED_BY[tag])
-        aside = put_aside(tag, attrs, self.articles > 0)
+        firm = put_aside(tag, attrs, self.articles > 0)
+        named, always = named_aside(tag, attrs)
+        if named:
+            self.named.append((self.named_seen, always))
+            self.named_seen += 1
+        if (tag in ("article", "main") or ("role", "main") in attrs) and not firm and not self.firm:
+            self.has_article = True
+            (self.holds_article if tag == "article" else self.holds_main).update(n for n, _ in self.named)
+        aside = firm or named and self.spared is not None and self.named[-1][0] not in self.spared
+        firm = firm or always
+        self.firm += firm
+        self.marks.append((named, firm))
         container = -1
         if tag in CONTAINER:
             container = len(self.kinds)
@@ -142,6 +179,11 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         (self.put_by if self.aside else self.parts).append(data)
+        if not self.firm:
+            size = len("".join(data.split()))
+            self.loose += size
+            for n, _ in self.named:
+                self.holds[n] = self.holds.get(n, 0) + size
 
 
 def smoothed(ratios: list[float], radius: int = 2, sigma: float = 1.0) -> list[float]:
@@ -180,11 +222,22 @@ def region(parser: Lines, lines: list[tuple[str, int, bool, tuple[int, ...]]], w
     return {whole[-1]} if whole and not any(h and not line[2] for h, line in zip(parser.headings[: first + 1], lines, strict=False)) else None
 
 
-def main_text(html: str) -> str:
-    parser = Lines()
+def parsed(html: str, spared: frozenset[int] | None = frozenset()) -> Lines:
+    parser = Lines(spared)
     parser.feed(html)
     parser.close()
     parser.end_line()
+    return parser
+
+
+def main_text(html: str) -> str:
+    parser = parsed(html)
+    most = {n for n, size in parser.holds.items() if 2 * size > parser.loose}
+    spared = parser.holds_main | (most & parser.holds_article if parser.has_article else most)
+    if spared:  # a wrapper, not a part of the page that is aside
+        parser = parsed(html, frozenset(spared))
+    if parser.named_seen and not any(not line[2] for line in parser.lines):
+        parser = parsed(html, None)
     lines = parser.lines
     if not any(not line[2] for line in lines):
         return ""
