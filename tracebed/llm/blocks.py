@@ -6,7 +6,8 @@ every document's aligned blocks are the index, and every rolling window of 7 wor
 the at most seven windows about a hit asks which smallest document holds it (step 2), and windows in a row make up the
 maximal exact repeats. Steps are exchanged in packed rows (packed.py), so that no pair of documents is ever listed.
 
-Hits of step 1 compare 32 bits within a bucket and only propose windows; step 2 compares 64 bits besides the bucket.
+Words enter by two hashes of their bytes, of any length (common.word_hashes). Hits of step 1 compare 32 bits within a bucket and only propose
+windows; step 2 decides by 128 bits, of two independent hashes of every word.
 
 Nulls: a null text has no words; a null doc_id ranks after all others. Documents of equal doc_id do not remove each
 other's words. Empty texts keep the hash of the empty string; an empty table gives an empty result.
@@ -15,83 +16,47 @@ other's words. Empty texts keep the hash of the empty string; an empty table giv
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Rolling, ids, mix64, slices, utf8, written
-from .packed import ASK, answer, ask_rows, bucket_of, chunked, cuts, per_chunk, replied, split_back
+from .common import hashed_texts, ids, utf8, windows, written
+from .packed import ASK, Cuts, Place, answer, ask_rows, bucket_of, chunked, per_chunk, places, replied, split_back
 
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-BASE, STEP1, STEP2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+STEP1, STEP2, STEP3 = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x9E3779B97F4A7C15
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of each word."""
-    space = SPACE[buf]
-    first = np.zeros(len(buf) + 1, bool)
-    first[off] = True
-    start = np.flatnonzero(~space & (np.concatenate(([True], space[:-1])) | first[:-1]))
-    end = np.flatnonzero(~space & (np.concatenate((space[1:], [True])) | first[1:])) + 1
-    return start, end, np.searchsorted(off, start, side="right") - 1
-
-
-def hashed_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash and the document of each word, derived some 100 KB at a time."""
-    hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for i, j in slices(off, 1 << 17):
-        b = buf[off[i] : off[j]]
-        if len(b):
-            start, end, doc = word_spans(b, off[i : j + 1] - off[i])
-            hashes.append(Rolling(b, BASE).of(start, end))
-            docs.append(doc + i)
-    return np.concatenate(hashes), np.concatenate(docs)
-
-
-def rolled(words: np.ndarray, k: int, step: int) -> np.ndarray:
-    """The hash of each window of k words."""
-    n = max(0, len(words) - k + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * np.uint64(step) + words[j : j + n]
-    return mix64(out)
-
-
 class Chunk:
     """What both steps derive from the documents of a chunk."""
 
     def __init__(self, docs: pa.Table, n: int, window: int, block: int):
-        self.buf, self.off = utf8(docs.column("text"))
-        self.words, self.doc = hashed_words(self.buf, self.off)
-        h = rolled(self.words, block, STEP1)
+        each = list(hashed_texts(*utf8(docs.column("text"))))
+        self.words, self.doc = np.concatenate([np.zeros((0, 2), np.uint64), *each]), np.repeat(np.arange(len(docs)), [len(h) for h in each])
+        h = windows(self.words[:, 0], block, STEP1)
         self.at = np.flatnonzero(self.doc[: len(h)] == self.doc[block - 1 :][: len(h)])
         h, doc = h[self.at], self.doc[self.at]
         self.keys, first, self.inverse = np.unique((bucket_of(h, n).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)), return_index=True, return_inverse=True)
-        self.cuts = cuts((self.keys >> np.uint64(32)).astype(np.int64), n)
+        self.cuts = Cuts.of((self.keys >> np.uint64(32)).astype(np.int64))
         begin = np.searchsorted(self.doc, np.arange(len(docs)))  # first word of each document
         aligned, many = np.zeros(len(self.keys), bool), np.zeros(len(self.keys), bool)
         aligned[self.inverse[(self.at - begin[doc]) % block == 0]] = True
         many[self.inverse[doc != doc[first][self.inverse]]] = True
         self.kind = aligned + 2 * many.astype(np.uint8)
-        self.window, self.block, self.n = window, block, n
+        self.window, self.block = window, block
 
-    def extend(self, live: np.ndarray) -> None:
-        """The windows about live blocks, their keys, and the first document of each key."""
+    def extended(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows about live blocks start, and the keys of these windows."""
         hit = np.zeros(len(self.words) + 1, np.int64)
         hit[self.at[live[self.inverse]] + 1] = 1
         hit = np.cumsum(hit)
         n = max(0, len(self.words) - self.window + 1)
         reach = self.window - self.block + 1
-        near = (self.doc[:n] == self.doc[self.window - 1 :][:n]) & (hit[reach : reach + n] > hit[:n])
-        self.wat = np.flatnonzero(near)
-        h = rolled(self.words, self.window, STEP2)[self.wat]
-        self.wkeys, first, self.winverse = np.unique(h, return_index=True, return_inverse=True)
-        self.wfirst = self.doc[self.wat][first]
-        self.wcuts = cuts(bucket_of(self.wkeys, self.n), self.n)
+        at = np.flatnonzero((self.doc[:n] == self.doc[self.window - 1 :][:n]) & (hit[reach : reach + n] > hit[:n]))
+        return at, np.stack((windows(self.words[:, 0], self.window, STEP2)[at], windows(self.words[:, 1], self.window, STEP3)[at]), axis=1)
 
 
 def live_blocks(keys: list[bytes], kinds: list[bytes]) -> list[np.ndarray]:
@@ -104,23 +69,39 @@ def live_blocks(keys: list[bytes], kinds: list[bytes]) -> list[np.ndarray]:
     return [np.packbits(x) for x in split_back((aligned & many)[inverse], [len(k) // 4 for k in keys])]
 
 
+def heads(keys: np.ndarray) -> np.ndarray:
+    """Of sorted rows, whether each differs from the one above."""
+    return np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else np.zeros(0, bool)
+
+
 def held_before(keys: list[bytes], docs: list[bytes]) -> list[np.ndarray]:
     """Whether a document before the asking chunk's first holds the window."""
-    flat, doc = np.concatenate([np.frombuffer(k, np.uint64) for k in keys]), np.concatenate([np.frombuffer(d, np.int64) for d in docs])
-    order = np.lexsort((doc, flat))
-    head = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))
+    flat, doc = np.concatenate([np.frombuffer(k, np.uint64).reshape(-1, 2) for k in keys]), np.concatenate([np.frombuffer(d, np.int64) for d in docs])
+    order = np.lexsort((doc, flat[:, 1], flat[:, 0]))
+    head = heads(flat[order])
     least = np.empty(len(flat), np.int64)
     least[order] = doc[order][head][np.cumsum(head) - 1]
-    return [np.packbits(x) for x in split_back(least < doc, [len(k) // 8 for k in keys])]
+    return [np.packbits(x) for x in split_back(least < doc, [len(k) // 16 for k in keys])]
 
 
-def covered(n: int, at: np.ndarray, width: int | np.ndarray) -> np.ndarray:
+def covered(n: int, at: np.ndarray, width: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + width, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+@dataclass
+class Found(Place):
+    """The windows about live blocks."""
+
+    at: np.ndarray
+    key: np.ndarray  # of each window, which of the keys asked
+    own: np.ndarray  # whether the chunk itself has it in an earlier document
+    buckets: np.ndarray
+    sizes: np.ndarray
+
+
 def dedup_words(docs: DataFrame, window: int = 13) -> DataFrame:
     """RESULT for each document: words that an earlier document's window covers are removed."""
     block = (window + 1) // 2
@@ -131,29 +112,40 @@ def dedup_words(docs: DataFrame, window: int = 13) -> DataFrame:
         return ask_rows(1, chunk, c.cuts, c.keys.astype(np.uint32), c.kind.astype(np.uint8))
 
     def extend(chunk: int, table: pa.Table, replies: pa.Table) -> pa.Table:
-        c = Chunk(table, n, window, block)
-        c.extend(replied(replies, 1, np.diff(c.cuts)))
-        return ask_rows(2, chunk, c.wcuts, c.wkeys, ids(table.column("doc_id"))[c.wfirst])
+        c, doc_ids = Chunk(table, n, window, block), ids(table.column("doc_id"))
+        at, keys = c.extended(replied(replies, 1, c.cuts.buckets, c.cuts.sizes()))
+        order = np.lexsort((at, keys[:, 1], keys[:, 0]))  # of equal windows the one in the smallest document comes first
+        head = heads(keys[order])
+        inverse = np.empty(len(at), np.int64)
+        inverse[order] = np.cumsum(head) - 1
+        asked, first = keys[order][head], doc_ids[c.doc[at[order][head]]]
+        cuts = Cuts.of(bucket_of(asked[:, 0], n))
+        found = Found(at, inverse, first[inverse] < doc_ids[c.doc[at]], cuts.buckets, cuts.sizes())
+        return pa.concat_tables([found.row(chunk), ask_rows(2, chunk, cuts, asked, first)])
 
     def remove(chunk: int, table: pa.Table, replies: pa.Table) -> pa.Table:
-        c, doc_ids = Chunk(table, n, window, block), ids(table.column("doc_id"))
-        c.extend(replied(replies, 1, np.diff(c.cuts)))
-        before = replied(replies, 2, np.diff(c.wcuts))[c.winverse] | (doc_ids[c.wfirst][c.winverse] < doc_ids[c.doc[c.wat]])
-        gone = covered(len(c.words), c.wat[before], window)
-        ends = np.searchsorted(c.doc, np.arange(len(table) + 1))
-        total = np.concatenate(([0], np.cumsum(gone)))
-        removed = total[ends[1:]] - total[ends[:-1]]
-        data, digests = c.buf.tobytes(), []
-        for d in range(len(table)):
-            words = data[c.off[d] : c.off[d + 1]].split()
-            if removed[d]:
-                words = compress(words, ~gone[ends[d] : ends[d + 1]])
+        found = Found.read(replies)
+        before = replied(replies, 2, found.buckets, found.sizes)[found.key] | (found.own > 0)
+        (buf, off), at = utf8(table.column("text")), found.at[before]
+        data, counts, removed, digests, begin = buf.tobytes(), [], [], [], 0
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            words = data[a:b].split()
+            counts.append(len(words))
+            lo, hi = np.searchsorted(at, (begin, begin + len(words)))
+            begin += len(words)
+            if hi > lo:
+                gone = covered(len(words), at[lo:hi] - begin + len(words), window)
+                removed.append(int(gone.sum()))
+                words = compress(words, (~gone).tolist())
+            else:
+                removed.append(0)
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": np.diff(ends), "n_removed": removed, "kept_sha256": pa.array(digests, pa.string())})
+        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
-    found = written(answer(per_chunk(chunks, probe, ASK), n, {1: live_blocks}), "blocks")
-    extended = written(answer(per_chunk(chunks, extend, ASK, found, n), n, {2: held_before}), "blocks")
-    return per_chunk(chunks, remove, RESULT, found.unionByName(extended), n)
+    named = written(answer(per_chunk(chunks, probe, ASK), n, {1: live_blocks}), "blocks")
+    asked = written(per_chunk(chunks, extend, ASK, named, n), "blocks", supersedes=named)
+    found = written(answer(asked.where("step > 0"), n, {2: held_before}), "blocks")
+    return per_chunk(chunks, remove, RESULT, places(asked).unionByName(found), n)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

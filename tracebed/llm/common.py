@@ -1,46 +1,74 @@
-"""What the operators share: the shared scratch folder, written steps, UTF-8 buffers, and word patterns."""
+"""What the operators share: the shared scratch folder, written steps, UTF-8 buffers, words and their hashes."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id ranks after all others
+#: Drops the shuffle files of an execution when it ends, so that steps of one operator do not add up on disk.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, whose executors are the
+    driver, may leave it unset and gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tracebed-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Folders that this process has made, in the order in which it made them.
+MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracebed/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/tracebed/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch folders that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in MADE:
+            MADE.remove(path)
+
 
+def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the scratch folders that were made after the first `since`. Frames that read them are void."""
+    drop(spark, *[p for p in MADE[since:] if p not in keep])
 
-def written(df: DataFrame, name: str) -> DataFrame:
+
+def written(df: DataFrame, name: str, supersedes: DataFrame | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lost executors cost no recomputation behind it.
 
-    The shuffle files of the finished step are released too, so that steps of one operator do not add up on disk."""
+    supersedes: a frame that `written` returned, which nothing but df reads; its table goes."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
-    del df
-    for _ in range(2):  # the first frees Python's handles, the second what they held in the JVM
-        gc.collect()
-        time.sleep(0.2)
-        spark.sparkContext._jvm.System.gc()
+    out._table = path
+    if supersedes is not None:
+        drop(spark, supersedes._table)
     return out
 
 
@@ -54,9 +82,9 @@ def known(df: DataFrame) -> DataFrame:
     return df if input_bytes(df) < 1 << 50 else written(df, "input")
 
 
-def parts(df: DataFrame, each: int, least: int = 8, most: int = 1_000_000) -> int:
+def parts(df: DataFrame, each: int, least: int = 8) -> int:
     """How many pieces of about `each` bytes df makes."""
-    return max(least, min(most, -(-input_bytes(df) // each)))
+    return max(least, -(-input_bytes(df) // each))
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,47 +114,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for an odd base; kept for the next call."""
-    if base not in POWERS or len(POWERS[base][0]) < n:
-        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-        if n:
-            up[0] = down[0] = 1
-        both = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if n > 1 << 18:
-            return both
-        POWERS[base] = both
-    up, down = POWERS[base]
-    return up[:n], down[:n]
-
-
-class Rolling:
-    """Hashes of any substring of a buffer from prefix sums of a polynomial modulo 2**64."""
-
-    def __init__(self, buf: np.ndarray, base: int):
-        up, self.down = powers(len(buf) + 1, base)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        terms = buf.astype(np.uint64)
-        terms += np.uint64(1)
-        terms *= up[:-1]
-        np.cumsum(terms, out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def every(self, k: int) -> np.ndarray:
-        """Of each window of k, mixed less."""
-        h = self.sums[k:] - self.sums[:-k]
-        h *= self.down[: len(h)]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(29)
-        return h
-
-
 def slices(off: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Ranges of consecutive documents of at most `most` bytes together; a longer document is a range of its own."""
     out, i = [], 0
@@ -135,3 +122,62 @@ def slices(off: np.ndarray, most: int) -> list[tuple[int, int]]:
         out.append((i, j))
         i = j
     return out
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+REST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
+
+
+def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of texts in one buffer."""
+    space = SPACE[buf]
+    first = np.zeros(len(buf) + 1, bool)
+    first[off] = True
+    start = np.flatnonzero(~space & (np.concatenate(([True], space[:-1])) | first[:-1]))
+    end = np.flatnonzero(~space & (np.concatenate((space[1:], [True])) | first[1:])) + 1
+    return start, end
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each word, as rows: eight bytes after the other are absorbed and mixed, so words of any length
+    differ but by chance; no sum or polynomial of their characters."""
+    eight = np.ndarray(len(buf), "<u8", np.concatenate((buf, np.zeros(8, np.uint8))), strides=(1,))
+    size = end - start
+    one = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    two = one ^ np.uint64(0xC2B2AE3D27D4EB4F)
+    at = np.arange(len(size))
+    for k in range(0, int(size.max(initial=0)), 8):
+        at = at[size[at] > k]
+        part = eight[start[at] + k] & REST[np.minimum(size[at] - k, 8)]
+        one[at] = h = mix64(one[at] ^ part)
+        two[at] = mix64((two[at] + part) * np.uint64(0xD6E8FEB86659FD93) ^ h >> np.uint64(32))
+    return np.stack((one, two), axis=1)
+
+
+def hashed_texts(buf: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
+    """The word_hashes of each text, derived some 256 KB of texts at a time."""
+    for i, j in slices(off, 1 << 18):
+        b, own = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+        start, end = word_spans(b, own)
+        hashes = word_hashes(b, start, end)
+        yield from np.split(hashes, np.searchsorted(start, own[1:-1]))
+
+
+def windows(hashes: np.ndarray, k: int, step: int) -> np.ndarray:
+    """The hash of each run of k words, from a column of word hashes: no polynomial of characters, so runs collide by
+    chance alone."""
+    n = max(0, len(hashes) - k + 1)
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = out * np.uint64(step) + hashes[j : j + n]
+    return mix64(out)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with __file and __row, which name a row of a stored table whatever reads it and however it is split."""
+    names = lambda df: df.select("*", F.xxhash64(df.metadataColumn("_metadata")["file_path"]).alias("__file"), df.metadataColumn("_metadata")["row_index"].alias("__row"))
+    try:
+        return names(docs)
+    except AnalysisException:  # not a plain scan of files
+        return names(written(docs, "input"))

@@ -4,13 +4,13 @@ A 200-byte string that occurs twice has the same smallest 100-byte gram in both
 strings are grouped by that gram: consecutive strings of a document with one smallest gram are a segment, at most 300
 bytes long. The groups come together by packed exchange (packed.py):
 
-1. Each chunk names its grams and the hashes of their segments. A gram found once is unique text. A segment found
-   twice repeats as a whole, and copies need no more work. What is left are grams with several different segments.
-2. The text of those segments, once each, goes to the gram's bucket. There a suffix array gives the Burrows-Wheeler
-   transform, and breadth-first backward extension derives common prefixes by increasing length, of the rows that
-   are still undivided, until the threshold; rows that hold together are strings that repeat.
-3. A gram with more than `GROUP` different segments (a passage in very many contexts) would make its bucket as large
-   as the passage is common. Its strings are dealt out one by one by a 128-bit hash instead, which is exact too.
+1. Each chunk names its grams, and how many different segments it has of each. A gram found once is unique text.
+2. The text of all other segments goes to the gram's bucket. Equal texts are one, with a weight. A suffix array of the
+   texts of a bucket gives the Burrows-Wheeler transform; breadth-first backward extension of intervals sets common
+   prefixes by increasing length and stops at the threshold. Neighbouring rows that are not told apart by then, and
+   rows of weight, are strings that repeat: bytes decide, for copies of whole segments too.
+3. A gram that is asked for more than `GROUP` times (a passage in very many contexts) would make its bucket as large as
+   the passage is common. Its strings are dealt out one by one, by 128 bits of XXH3 of their bytes.
 
 Nulls: a null text is empty; a null doc_id is an ordinary document. Repeated rows are places of their own, so each loses
 what it shares with the other. Texts under 200 bytes lose nothing; an empty table gives an empty result.
@@ -19,22 +19,48 @@ what it shares with the other. Texts under 200 bytes lose nothing; an empty tabl
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import Rolling, mix64, slices, utf8, written
-from .packed import ASK, answer, ask_rows, bucket_of, chunked, cuts, per_chunk, replied, split_back
+from .common import mix64, slices, utf8, written
+from .packed import ASK, Cuts, Place, answer, ask_rows, ask_table, bucket_of, chunked, per_chunk, places, replied, split_back
 
 NEED = 200
-GROUP = 4096  # different segments of one gram that a bucket takes as text
+GROUP = 4096  # segments of one gram that a bucket takes as text
 PIECE = 1 << 16  # bytes of text that are hashed at a time; what is derived from them stays in cache
 BATCH = 1 << 18  # bytes of segments in one transform
-BASE1, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+BASE = 0x9E3779B97F4A7C15
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+POWERS: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64; kept for the next call."""
+    if len(POWERS[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            terms = np.full(n, base, np.uint64)
+            terms[0] = 1
+            POWERS[k] = np.multiply.accumulate(terms)
+    return [p[:n] for p in POWERS]
+
+
+def grams(buf: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k bytes, from prefix sums of a polynomial. Grams that share one only meet in one group."""
+    up, down = powers(len(buf) + 1)
+    terms = buf.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= up[:-1]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms)))
+    h = sums[k:] - sums[:-k]
+    h *= down[: len(h)]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -56,17 +82,16 @@ def pieces(off: np.ndarray):
             lo = end if hi == end else hi - NEED + 1
 
 
-def segments(buf: np.ndarray, off: np.ndarray, need: int = NEED):
-    """Of each segment: gram, hash, first and last start of its strings."""
+def segments(buf: np.ndarray, off: np.ndarray, need: int = NEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each segment: gram, start, and the end of its last string."""
     gram = need // 2
     width = need - gram + 1
-    found = []
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for lo, hi, i, j in pieces(off):
         if hi - lo < need:
             continue
         b = buf[lo:hi]
-        first = Rolling(b, BASE1)
-        g = first.every(gram)
+        g = grams(b, gram)
         mask = np.uint64((1 << 22) - 1)
         back = mask - np.arange(len(g), dtype=np.uint64)
         at = (mask - (smallest((g & ~mask) | back, width) & mask)).astype(np.int64)
@@ -80,12 +105,9 @@ def segments(buf: np.ndarray, off: np.ndarray, need: int = NEED):
             continue
         anchor = at[start]
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)))
-        p1 = start[new]
-        p2 = start[np.concatenate((new[1:], [True]))]
+        last = start[np.concatenate((new[1:], [True]))]
         # Minima crowd at the low end; mixed again they fill all buckets alike.
-        found.append((mix64(g[anchor[new]]), first.of(p1, p2 + need), p1 + lo, p2 + lo))
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found.append((mix64(g[anchor[new]]), start[new] + lo, last + need + lo))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -124,30 +146,39 @@ def suffix_array(symbols: np.ndarray, left: np.ndarray, longest: int) -> np.ndar
     return order
 
 
-def divide(bwt: np.ndarray, ends: int, need: int) -> np.ndarray:
+def expand_intervals(bwt: np.ndarray, ends: int, need: int) -> np.ndarray:
     """Whether each row of the transform shares fewer than `need` symbols with the row above.
 
-    Level by level, from one symbol on: two neighbouring rows that start with the same symbol are divided at a level if
-    what follows that symbol was divided at the level before; going from a row to what follows is the inverse of a
-    backward extension. Only rows that are still undivided are looked at again."""
-    follow = np.argsort(bwt, kind="stable").astype(np.int32)  # row of the suffix that starts one symbol later
+    An interval holds the rows that start with one string. A queue of intervals, all of one length, is extended
+    backwards, by each symbol that precedes a row of it; where the extended interval ends, the row below has a common
+    prefix of just the queue's length, unless a shorter one was set there before. Only intervals that set one go into
+    the next queue, and the queue of length `need` is never made: what is not set by then shares `need` symbols."""
+    n = len(bwt)
+    follow = np.argsort(bwt, kind="stable")  # row of the suffix that starts one symbol later
+    to = np.empty(n, np.int64)
+    to[follow] = np.arange(n)  # row of the suffix that starts one symbol earlier
     first = bwt[follow]
-    apart = np.concatenate(([True], first[1:] != first[:-1]))
+    apart = np.concatenate(([True], first[1:] != first[:-1], [True]))
     apart[: ends + 1] = True  # each end is a symbol of its own
-    rows = np.flatnonzero(~apart).astype(np.int32)
-    above, below = follow[rows - 1], follow[rows]
-    count = np.empty(len(bwt), np.int32)
+    low = np.flatnonzero(apart[:-1])
+    high = np.append(low[1:], n) - 1
     for _ in range(1, need):
-        if not len(rows):
+        if not len(low):
             break
-        np.cumsum(apart, out=count)
-        split = count[below] != count[above]
-        if not split.any():
-            break  # nothing was divided, so nothing ever will be
-        apart[rows[split]] = True
-        keep = ~split
-        rows, above, below = rows[keep], above[keep], below[keep]
-    return apart
+        size = high - low + 1
+        name = np.repeat(np.arange(len(low)), size)
+        rows = np.repeat(low - np.cumsum(size) + size, size) + np.arange(len(name))
+        inner = bwt[rows] > 0  # no string goes on before the start of its text
+        rows, name = rows[inner], name[inner]
+        order = np.argsort(to[rows], kind="stable")
+        rows, name = rows[order], name[order]
+        place, symbol = to[rows], bwt[rows]
+        new = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (symbol[1:] != symbol[:-1])))) if len(rows) else np.zeros(0, np.int64)
+        low, high = place[new], place[np.append(new[1:], len(rows)) - 1] if len(rows) else new
+        fresh = ~apart[high + 1]
+        low, high = low[fresh], high[fresh]
+        apart[high + 1] = True
+    return apart[:-1]
 
 
 def repeated(texts: list[bytes], need: int = NEED) -> list[np.ndarray]:
@@ -163,7 +194,7 @@ def repeated(texts: list[bytes], need: int = NEED) -> list[np.ndarray]:
     sa = suffix_array(symbols, left, int(lengths.max()) + 1)
     bwt = symbols[sa - 1].astype(np.uint16)
     # The array begins with the ends, one row for each text.
-    apart = divide(bwt, len(texts), need)
+    apart = expand_intervals(bwt, len(texts), need)
     alone = apart & np.concatenate((apart[1:], [True]))
     twice = np.zeros(len(raw), bool)
     twice[sa[~alone]] = True
@@ -173,59 +204,65 @@ def repeated(texts: list[bytes], need: int = NEED) -> list[np.ndarray]:
 
 # --- what buckets answer --------------------------------------------------------------------------------------------
 
-ALONE, COPIED, TEXT, STRINGS = 0, 1, 2, 4
-
-
-def compare_segments(keys: list[bytes], many: list[bytes]) -> list[np.ndarray]:
-    """COPIED if the segment is found twice; TEXT or STRINGS for one chunk of each segment of a gram that has several."""
-    flat = np.concatenate([np.frombuffer(k, np.uint64).reshape(-1, 2) for k in keys])
-    twice = np.concatenate([np.frombuffer(k, np.uint8) for k in many]) > 0
-    gram, seg = flat[:, 0], flat[:, 1]
-    order = np.lexsort((seg, gram))
-    g, s, t = gram[order], seg[order], twice[order]
-    new_gram = np.concatenate(([True], g[1:] != g[:-1]))
-    new = new_gram | np.concatenate(([True], s[1:] != s[:-1]))
-    at = np.flatnonzero(new)
-    copied = (np.diff(np.append(at, len(g))) > 1) | np.logical_or.reduceat(t, at)
-    kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1]
-    status = copied[np.cumsum(new) - 1].astype(np.uint8)
-    status[new & (kinds > 1) & (kinds <= GROUP)] |= TEXT
-    status[new & (kinds > GROUP)] |= STRINGS
-    out = np.empty(len(g), np.uint8)
-    out[order] = status
-    return split_back(out, [len(k) // 16 for k in keys])
-
-
-def expand(keys: list[bytes], texts: list[bytes]) -> list[np.ndarray]:
-    """For the strings of each segment, whether they repeat. texts: the lengths of all segments, then all their bytes."""
-    gram = [np.frombuffer(k, np.uint64) for k in keys]
-    all_texts = []
-    for k, t in zip(gram, texts, strict=True):
-        lengths = np.frombuffer(t, np.uint32, len(k))
-        stop = np.cumsum(lengths, dtype=np.int64) + 4 * len(k)
-        all_texts += [t[a:b] for a, b in zip((stop - lengths).tolist(), stop.tolist(), strict=True)]
-    flat = np.concatenate(gram)
-    order = np.argsort(flat, kind="stable")
-    head = np.append(np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1]))), len(flat))
-    found: list[np.ndarray] = [np.zeros(0, bool)] * len(flat)
-    batch, size = [], 0
+ALONE, TEXT, STRINGS = 0, 1, 2
+
+
+def met(keys: list[bytes], counts: list[bytes]) -> list[np.ndarray]:
+    """Of each gram: ALONE, TEXT, or STRINGS if it is asked for too often."""
+    gram, often = np.concatenate([np.frombuffer(k, np.uint64) for k in keys]), np.concatenate([np.frombuffer(c, np.uint32) for c in counts])
+    order = np.argsort(gram, kind="stable")
+    new = np.concatenate(([True], gram[order][1:] != gram[order][:-1]))
+    total = np.add.reduceat(often[order].astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+    out = np.empty(len(gram), np.uint8)
+    out[order] = np.where(total > GROUP, STRINGS, np.where(total > 1, TEXT, ALONE))
+    return split_back(out, [len(k) // 8 for k in keys])
+
+
+def packed_texts(texts: list[bytes], twice: np.ndarray) -> bytes:
+    return np.array([len(t) for t in texts], np.uint32).tobytes() + twice.astype(np.uint8).tobytes() + b"".join(texts)
+
+
+def expand(keys: list[bytes], packed: list[bytes]) -> list[np.ndarray]:
+    """For the strings of each segment, whether they repeat. packed: lengths, whether the chunk has it twice, bytes."""
+    group: dict[int, dict[bytes, int]] = {}  # of a gram, the different texts
+    texts: list[bytes] = []
+    weights: list[int] = []
+    own: list[list[int]] = []
+    for k, raw in zip(keys, packed, strict=True):
+        m, rows = len(k) // 8, []
+        twice = raw[4 * m : 5 * m]
+        begin = 5 * m
+        for gram, size, more in zip(np.frombuffer(k, np.uint64).tolist(), np.frombuffer(raw, np.uint32, m).tolist(), twice, strict=True):
+            text = raw[begin : begin + size]
+            begin += size
+            known = group.setdefault(gram, {})
+            i = known.setdefault(text, len(texts))
+            if i == len(texts):
+                texts.append(text)
+                weights.append(0)
+            weights[i] += 1 + more
+            rows.append(i)
+        own.append(rows)
+    found: list[np.ndarray | None] = [None] * len(texts)
+    batch: list[int] = []
+    size = 0
 
     def run() -> None:
-        for i, hit in zip(batch, repeated([all_texts[i] for i in batch]), strict=True):
-            found[i] = hit
+        for i, hit in zip(batch, repeated([texts[i] for i in batch]), strict=True):
+            found[i] = hit | (weights[i] > 1)
 
-    for a, b in zip(head[:-1].tolist(), head[1:].tolist(), strict=True):  # a gram's segments stay together
-        batch += order[a:b].tolist()
-        size += sum(len(all_texts[i]) for i in order[a:b].tolist())
+    for known in group.values():
+        if len(known) == 1:  # a transform of one text says no more than its weight
+            ((text, i),) = known.items()
+            found[i] = np.full(len(text) - NEED + 1, weights[i] > 1)
+            continue
+        batch += known.values()
+        size += sum(map(len, known))
         if size > BATCH:
             run()
             batch, size = [], 0
     run()
-    out, i = [], 0
-    for k in gram:
-        out.append(np.packbits(np.concatenate(found[i : i + len(k)])))
-        i += len(k)
-    return out
+    return [np.packbits(np.concatenate([found[i] for i in rows])) for rows in own]
 
 
 def count_strings(keys: list[bytes], many: list[bytes]) -> list[np.ndarray]:
@@ -245,79 +282,79 @@ def count_strings(keys: list[bytes], many: list[bytes]) -> list[np.ndarray]:
 
 
 class Chunk:
+    """The segments of a chunk: places of the different ones, equal bytes being one, by gram."""
+
     def __init__(self, docs: pa.Table, n: int):
         self.buf, self.off = utf8(docs.column("text"))
-        gram, seg, self.p1, self.p2 = segments(self.buf, self.off)
-        order = np.lexsort((seg, gram))
-        g, s = gram[order], seg[order]
-        new = np.concatenate(([True], (g[1:] != g[:-1]) | (s[1:] != s[:-1]))) if len(g) else np.zeros(0, bool)
-        self.first = order[new]  # a place of each different segment
-        self.pairs = np.stack((g[new], s[new]), axis=1)
-        self.inverse = np.empty(len(g), np.int64)
-        self.inverse[order] = np.cumsum(new) - 1
-        self.many = (np.bincount(self.inverse, minlength=len(self.first)) > 1).astype(np.uint8)
-        self.cuts = cuts(bucket_of(self.pairs[:, 0], n), n)
-        self.n = n
-
-    def ordered(self, status: np.ndarray) -> None:
-        """The segments to send as text, and the strings to send by hash."""
-        self.copied = status & COPIED > 0
-        self.text = np.flatnonzero(status & TEXT)
-        self.text_cuts = cuts(bucket_of(self.pairs[self.text, 0], self.n), self.n)
-        self.windows = self.p2[self.first[self.text]] - self.p1[self.first[self.text]] + 1
-        strings = self.first[status & STRINGS > 0]
-        count = self.p2[strings] - self.p1[strings] + 1
-        start = np.repeat(self.p1[strings] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        self.strings = start
-        h = np.zeros((len(start), 2), np.uint64)
-        if len(start):
-            ends = self.off
-            doc = np.searchsorted(ends, start, side="right") - 1
-            for d in np.unique(doc):  # only documents that have such strings are hashed again
-                mine = doc == d
-                b = self.buf[ends[d] : ends[d + 1]]
-                for k, base in enumerate((BASE1, BASE2)):
-                    h[mine, k] = Rolling(b, base).of(start[mine] - ends[d], start[mine] - ends[d] + NEED)
-        order = np.lexsort((h[:, 1], h[:, 0]))
-        s = h[order]
-        new = np.concatenate(([True], (s[1:] != s[:-1]).any(axis=1))) if len(s) else np.zeros(0, bool)
-        self.skeys = s[new]
-        self.sinverse = np.empty(len(s), np.int64)
-        self.sinverse[order] = np.cumsum(new) - 1
-        self.smany = (np.bincount(self.sinverse, minlength=len(self.skeys)) > 1).astype(np.uint8)
-        self.scuts = cuts(bucket_of(self.skeys[:, 0], self.n), self.n)
-
-
-def merge(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The union of intervals, as rows of start and end."""
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    new = np.concatenate(([True], start[1:] > end[:-1])) if len(start) else np.zeros(0, bool)
-    return np.stack((start[new], end[np.concatenate((new[1:], [True]))] if len(start) else end), axis=1)
+        self.data = self.buf.tobytes()
+        gram, self.p1, self.p2 = segments(self.buf, self.off)
+        order = np.argsort(gram, kind="stable")
+        g = gram[order]
+        new = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
+        count = np.diff(np.append(np.flatnonzero(new), len(g)))
+        self.which = np.empty(len(g), np.int64)  # the different segment that each is
+        self.first, self.grams, self.twice = [], [], []  # of the different ones: a place, the gram, whether it is found twice
+        single = np.repeat(count == 1, count)
+        at = np.flatnonzero(single)
+        self.which[order[at]] = np.arange(len(at))
+        first, grams_, twice = [order[at]], [g[at]], np.zeros(len(at), bool)
+        more, seen = [], {}
+        for i in order[~single].tolist():
+            key = (gram[i], self.data[self.p1[i] : self.p2[i]])
+            k = seen.setdefault(key, len(seen))
+            if k == len(more):
+                more.append(i)
+            self.which[i] = len(at) + k
+        often = np.bincount(self.which[order[~single]] - len(at), minlength=len(more)) if len(more) else np.zeros(0, np.int64)
+        first, grams_, twice = np.concatenate([*first, np.array(more, np.int64)]), np.concatenate([*grams_, gram[np.array(more, np.int64)]]), np.concatenate([twice, often > 1])
+        by = np.argsort(grams_, kind="stable")
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        self.first, self.grams, self.twice, self.which = first[by], grams_[by], twice[by], back[self.which]
+        new = np.concatenate(([True], self.grams[1:] != self.grams[:-1])) if len(by) else np.zeros(0, bool)
+        self.name = np.cumsum(new) - 1  # of each different segment, which of the grams
+        self.asked = self.grams[new]
+        # A segment found twice counts as two.
+        self.counts = np.bincount(self.name, weights=1 + self.twice, minlength=len(self.asked)).astype(np.uint32)
+        self.cuts = Cuts.of(bucket_of(self.asked, n))
+
+    def texts(self, of: np.ndarray) -> list[bytes]:
+        return [self.data[a:b] for a, b in zip(self.p1[self.first[of]].tolist(), self.p2[self.first[of]].tolist(), strict=True)]
+
+    def strings(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the strings of these segments, at all their places: starts and which key each has; the keys, and which the chunk has twice."""
+        mine = np.flatnonzero(np.isin(self.which, of))
+        starts, keys, seen = [], [], {}
+        for a, b in zip(self.p1[mine].tolist(), self.p2[mine].tolist(), strict=True):
+            for i in range(a, b - NEED + 1):
+                starts.append(i)
+                keys.append(seen.setdefault(xxhash.xxh3_128_digest(self.data[i : i + NEED]), len(seen)))
+        flat = np.frombuffer(b"".join(seen), np.uint64).reshape(-1, 2)
+        by = np.lexsort((flat[:, 1], flat[:, 0]))
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        which = back[np.array(keys, np.int64)]
+        return np.array(starts, np.int64), which, flat[by], np.bincount(which, minlength=len(by)) > 1
 
 
 @dataclass
-class Place:
-    """Where in a chunk its answers belong, so that the last step need not hash the texts again."""
+class Sent(Place):
+    """What a chunk has sent as text, and as strings."""
 
-    copied: np.ndarray  # intervals of bytes
-    start: np.ndarray  # of the segments sent as text, in the order asked
-    windows: np.ndarray  # strings in each
-    per_bucket: np.ndarray
-    strings: np.ndarray  # starts of strings sent by hash
-    inverse: np.ndarray  # and the key of each
-    per_string_bucket: np.ndarray
+    start: np.ndarray  # of each segment at each place
+    which: np.ndarray  # of those sent, in the order asked
+    strings: np.ndarray  # in each of those sent
+    buckets: np.ndarray
+    sizes: np.ndarray  # strings in each bucket
+    hot_start: np.ndarray
+    hot_which: np.ndarray
+    hot_buckets: np.ndarray
+    hot_sizes: np.ndarray
 
-    def bytes(self) -> bytes:
-        arrays = [np.ascontiguousarray(getattr(self, f.name), np.int32) for f in fields(self)]
-        return np.array([a.size for a in arrays], np.int32).tobytes() + b"".join(a.tobytes() for a in arrays)
 
-    @classmethod
-    def read(cls, raw: bytes) -> Place:
-        names = [f.name for f in fields(cls)]
-        sizes = np.frombuffer(raw, np.int32, len(names))
-        found = dict(zip(names, np.split(np.frombuffer(raw, np.int32, offset=4 * len(names)).astype(np.int64), np.cumsum(sizes)[:-1]), strict=True))
-        return cls(**found | {"copied": found["copied"].reshape(-1, 2)})
+def runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each run."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
@@ -326,41 +363,36 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
 
     def name(chunk: int, table: pa.Table) -> pa.Table:
         c = Chunk(table, n)
-        return ask_rows(1, chunk, c.cuts, c.pairs, c.many)
+        return ask_rows(1, chunk, c.cuts, c.asked, c.counts)
 
     def send(chunk: int, table: pa.Table, replies: pa.Table) -> pa.Table:
         c = Chunk(table, n)
-        c.ordered(replied(replies, 1, np.diff(c.cuts), bits=False))
-        grams, texts, data = [], [], memoryview(c.buf)
-        full = np.flatnonzero(np.diff(c.text_cuts))
-        for b in full:
-            own = c.text[c.text_cuts[b] : c.text_cuts[b + 1]]
-            p1, p2 = c.p1[c.first[own]], c.p2[c.first[own]] + NEED
-            grams.append(c.pairs[own, 0].tobytes())
-            texts.append((p2 - p1).astype(np.uint32).tobytes() + b"".join(data[x:y] for x, y in zip(p1.tolist(), p2.tolist(), strict=True)))
-        of = lambda v: pa.array(np.full(len(full), v), pa.int32())
-        place = Place(merge(*(x[c.copied[c.inverse]] for x in (c.p1, c.p2 + NEED))), c.p1[c.first[c.text]], c.windows, np.diff(np.concatenate(([0], np.cumsum(c.windows)))[c.text_cuts]), c.strings, c.sinverse, np.diff(c.scuts))
-        own = pa.table({"step": pa.array([0], pa.int32()), "bucket": pa.array([0], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "keys": pa.array([place.bytes()], pa.binary()), "extra": pa.array([b""], pa.binary())})
-        first = pa.table({"step": of(2), "bucket": pa.array(full, pa.int32()), "chunk": of(chunk), "keys": pa.array(grams, pa.binary()), "extra": pa.array(texts, pa.binary())})
-        return pa.concat_tables([own, first, ask_rows(3, chunk, c.scuts, c.skeys, c.smany)])
+        status = replied(replies, 1, c.cuts.buckets, c.cuts.sizes(), bits=False)[c.name]
+        text = np.flatnonzero(status == TEXT)
+        cuts, parts = Cuts.of(bucket_of(c.grams[text], n)), []
+        for a, b in zip(cuts.at[:-1].tolist(), cuts.at[1:].tolist(), strict=True):
+            parts.append(packed_texts(c.texts(text[a:b]), c.twice[text[a:b]]))
+        keys = [c.grams[text[a:b]].tobytes() for a, b in zip(cuts.at[:-1].tolist(), cuts.at[1:].tolist(), strict=True)]
+        count = c.p2[c.first[text]] - c.p1[c.first[text]] - NEED + 1
+        place = np.full(len(c.first), -1)
+        place[text] = np.arange(len(text))
+        mine = np.flatnonzero(place[c.which] >= 0) if len(c.which) else np.zeros(0, np.int64)
+        starts, which, strings, twice = c.strings(np.flatnonzero(status == STRINGS))
+        hot = Cuts.of(bucket_of(strings[:, 0], n))
+        sent = Sent(c.p1[mine], place[c.which[mine]], count, cuts.buckets, np.add.reduceat(count, cuts.at[:-1]) if len(count) else count, starts, which, hot.buckets, hot.sizes())
+        return pa.concat_tables([sent.row(chunk), ask_table(2, chunk, cuts.buckets, keys, parts), ask_rows(3, chunk, hot, strings, twice.astype(np.uint8))])
 
     def remove(chunk: int, table: pa.Table, replies: pa.Table) -> pa.Table:
         buf, off = utf8(table.column("text"))
-        step = replies.column("step").to_pylist()
-        (own,) = (k for s, k in zip(step, replies.column("bits").to_pylist(), strict=True) if s == 0)
-        place = Place.read(own)
+        sent = Sent.read(replies)
         edge = np.zeros(len(buf) + 1, np.int32)
-
-        def mark(start: np.ndarray, end: np.ndarray) -> None:
+        hit = replied(replies, 2, sent.buckets, sent.sizes)
+        count = sent.strings[sent.which]
+        first = np.concatenate(([0], np.cumsum(sent.strings)))[sent.which]
+        hot = replied(replies, 3, sent.hot_buckets, sent.hot_sizes)[sent.hot_which]
+        for start in (runs(sent.start, count)[hit[runs(first, count)]], sent.hot_start[hot]):
             np.add.at(edge, start, 1)
-            np.add.at(edge, end, -1)
-
-        mark(*place.copied.T)
-        hit = replied(replies, 2, place.per_bucket)
-        start = np.repeat(place.start - np.cumsum(place.windows) + place.windows, place.windows) + np.arange(place.windows.sum())
-        mark(start[hit], start[hit] + NEED)
-        strings = replied(replies, 3, place.per_string_bucket)[place.inverse]
-        mark(place.strings[strings], place.strings[strings] + NEED)
+            np.add.at(edge, start + NEED, -1)
         gone = np.cumsum(edge[:-1]) > 0
         total = np.concatenate(([0], np.cumsum(gone)))
         removed = total[off[1:]] - total[off[:-1]]
@@ -375,11 +407,10 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
                 digests.append(hashlib.sha256(buf[a:b]).hexdigest())
         return pa.table({"doc_id": table.column("doc_id"), "n_bytes": np.diff(off), "n_removed": removed, "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
-    named = written(answer(per_chunk(chunks, name, ASK), n, {1: compare_segments}), "suffixes")
-    asked = written(per_chunk(chunks, send, ASK, named, n), "suffixes")
+    named = written(answer(per_chunk(chunks, name, ASK), n, {1: met}), "suffixes")
+    asked = written(per_chunk(chunks, send, ASK, named, n), "suffixes", supersedes=named)
     found = written(answer(asked.where("step > 0"), n, {2: expand, 3: count_strings}), "suffixes")
-    places = asked.where("step = 0").select("step", "chunk", "bucket", F.col("keys").alias("bits"))
-    return per_chunk(chunks, remove, RESULT, places.unionByName(found), n)
+    return per_chunk(chunks, remove, RESULT, places(asked).unionByName(found), n)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
