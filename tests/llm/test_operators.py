@@ -266,8 +266,8 @@ def test_decontamination(spark, docs, empty, monkeypatch):
         expected.append((r.doc_id, len(w), len(hit), len(names), sha(",".join(sorted(names)).encode()), bool(hit)))
         if not hit:
             clean.append(r)
-    for size in (1 << 20, 100):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    for bits in (decontaminate.FILTER_BITS, 4):  # a filter that is full changes nothing
+        monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
         same(decontaminate.contamination(docs, bench).collect(), expected)
         same(decontaminate.clean(docs, bench).collect(), clean)
     assert decontaminate.contamination(empty, bench).count() == 0

@@ -1,13 +1,14 @@
 """Benchmark decontamination: prefix-filtered containment of item-sized windows.
 
-A window is 10 consecutive words of an item (all of a shorter item). Words are ordered by rarity, counted over the
-whole corpus. For containment of 1 the prefix that must be joined is one word, the window's rarest: a document holds
-the window only where it holds that word. Windows are indexed by it, the index is probed with every word of every
-whole text, bounds on the window's length and on the word's place in it drop what would stick out of the text, and
-what is left is compared word by word.
+A window is 10 consecutive words of an item (all of a shorter item). Its shingles are its runs of three words (the
+whole of a window of fewer), ordered by rarity, which is counted over all documents. For containment of 1 the prefix
+that must be joined is one shingle, the window's rarest: a document holds the window only where it holds that one.
 
-The items are a stated query set. They are indexed in blocks of at most `BLOCK_BYTES`, each sent to all executors, so
-no broadcast grows with the number of items; documents are never shuffled.
+Documents are read twice, whatever the number of items: once to count shingles of items, once to find their prefixes.
+Both times a filter of hashes, of a fixed size at most, is sent to all executors and only says which shingles may be
+wanted; texts stay where they are. A possible place goes on with the few words about it, and an ordinary join, which
+Spark broadcasts, shuffles or splits as sizes tell it, finds the windows of its shingle. The bounds: the shingle's place
+in the window must leave the window within the text. What is left is compared word by word.
 
 Nulls: a null text has no words. Items without words match nothing; a null item_id is named by the empty string;
 rows of one item_id count as one item. Null doc_ids and repeated rows keep their rows.
@@ -15,199 +16,193 @@ rows of one item_id count as one item. Null doc_ids and repeated rows keep their
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hashed_texts, identified, input_bytes, utf8, windows, written
 
-WINDOW = 10
-BLOCK_BYTES = 1 << 20  # the index of a block takes some 70 times that in a worker
+WINDOW, SHINGLE = 10, 3
+FILTER_BITS = 27  # of the largest filter, as a power of two: 16 MB
+BLOCKS = 16
+STEP = 0xC2B2AE3D27D4EB4F
 #: Lower-cases A-Z; ASCII but letters and digits becomes space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
+def texts(column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Each text, its words apart by spaces, and the hashes of its words."""
+    buf, off = utf8(column)
+    data = buf.tobytes().translate(TABLE)
+    for a, b, hashes in zip(off[:-1].tolist(), off[1:].tolist(), hashed_texts(np.frombuffer(data, np.uint8), off), strict=True):
+        yield data[a:b], hashes
 
 
-def blocks(bench: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """Items, at most BLOCK_BYTES of text at a time."""
-    held, size = [], 0
-    for row in bench.select(F.col("item_id").cast("string").alias("item_id"), F.encode("text", "UTF-8").alias("text")).toLocalIterator():
-        held.append((row.item_id or "", bytes(row.text or b"")))
-        size += len(held[-1][1])
-        if size > BLOCK_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    return windows(hashes[:, 0], size, STEP)
 
 
-def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """How often each word of a block's items is found in all texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+# --- items ----------------------------------------------------------------------------------------------------------
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = Counter(), sent.value
+
+def item_windows(bench: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """words, items, m, s and shingles of each different window: its words, the items that hold it, the numbers of words
+    in it and in its shingles, and their hashes in order."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in texts(batch):
-                total.update(filter(known.__contains__, words(text)))
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
+            for name, (text, own) in zip(batch.column("item").to_pylist(), texts(batch.column("text")), strict=True):
+                w = text.split()
+                starts = range(max(1, len(w) - size + 1) if w else 0)
+                found = [w[k : k + size] for k in starts]
+                hashes = [shingles(own[k : k + size], min(shingle, len(w))).view(np.int64) for k in starts]
+                yield pa.RecordBatch.from_pydict({"words": pa.array(found, pa.list_(pa.binary())), "item": pa.array([name] * len(found), pa.string()), "shingles": pa.array(hashes, pa.list_(pa.int64()))})
 
-    rows = docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r.word): r.n for r in rows}
+    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    cut_up = items.mapInArrow(cut, "words array<binary>, item string, shingles array<bigint>")
+    own = cut_up.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"), F.first("shingles").alias("shingles"))
+    return written(own.select("words", "items", "shingles", F.size("words").alias("m"), F.least(F.size("words"), F.lit(shingle)).alias("s")), "windows")
 
 
-class Index:
-    """Windows by their rarest word: its place, the window's words, and its items."""
+class Filter:
+    """Bits of hashes: which shingles may be wanted."""
 
-    def __init__(self, names: list[str], by_word: dict[bytes, list[tuple[int, list[bytes], list[int]]]]):
-        self.names, self.by_word = names, by_word
+    def __init__(self, power: int, data: np.ndarray):
+        self.shift, self.data = np.uint64(64 - power), data
 
     @classmethod
-    def of(cls, items: list[tuple[str, bytes]], often: dict[bytes, int], size: int = WINDOW) -> "Index":
-        windows: dict[tuple[bytes, ...], list[int]] = {}
-        for i, (_, text) in enumerate(items):
-            w = words(text)
-            for k in range(max(1, len(w) - size + 1) if w else 0):
-                owners = windows.setdefault(tuple(w[k : k + size]), [])
-                if not owners or owners[-1] != i:
-                    owners.append(i)
-        by_word: dict[bytes, list[tuple[int, list[bytes], list[int]]]] = {}
-        for window, owners in windows.items():
-            place = min(range(len(window)), key=lambda k: (often.get(window[k], 0), window[k], k))
-            by_word.setdefault(window[place], []).append((place, list(window), owners))
-        return cls([name for name, _ in items], by_word)
-
-    def hits(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Spans of words that windows cover, and the items whose windows are found."""
-        spans, items, found, n = [], set(), self.by_word, len(text)
-        for i, w in enumerate(text):
-            if w in found:
-                for place, window, owners in found[w]:
-                    a = i - place
-                    if a >= 0 and a + len(window) <= n and text[a : a + len(window)] == window:
-                        spans.append((a, a + len(window)))
-                        items.update(owners)
-        return spans, items
-
-
-def probe(docs: DataFrame, items: list[tuple[str, bytes]], schema: str, emit) -> DataFrame:
-    """emit(batch, hits of a text) gives the rows of schema for a batch."""
-    often = frequencies(docs, {w for _, text in items for w in words(text)})
-    index = Index.of(items, often)
-    sent = docs.sparkSession.sparkContext.broadcast((index.names, index.by_word))
+    def of(cls, hashes: DataFrame) -> Filter:
+        """hashes: h. About 16 bits for each, as far as `FILTER_BITS` allows; the driver gets no more than these bits."""
+        power = max(16, min(FILTER_BITS, (2 * max(1, input_bytes(hashes))).bit_length()))
+        each = (1 << power) // 8 // BLOCKS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*sent.value)
-        for batch in batches:
-            yield emit(batch, index)
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(each * BLOCKS, np.uint8)
+            for batch in batches:
+                at = (batch.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            rows = [(k, r.tobytes()) for k, r in enumerate(bits.reshape(BLOCKS, each)) if r.any()]
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k for k, _ in rows], pa.int32()), "bits": pa.array([r for _, r in rows], pa.binary())})
+
+        def either(t: pa.Table) -> pa.Table:
+            bits = np.zeros(each, np.uint8)
+            for r in t.column("bits"):
+                bits |= np.frombuffer(r.as_py(), np.uint8)
+            return pa.table({"block": t.column("block")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+        data = np.zeros((BLOCKS, each), np.uint8)
+        schema = "block int, bits binary"
+        for r in hashes.mapInArrow(mark, schema).groupBy("block").applyInArrow(either, schema).collect():
+            data[r.block] = np.frombuffer(r.bits, np.uint8)
+        return cls(power, data.ravel())
 
-    return docs.mapInArrow(run, schema)
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> self.shift).astype(np.int64)
+        return self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
 
 
-def union_length(spans: list[tuple[int, int]]) -> int:
-    total = last = 0
-    for a, b in sorted(spans):
-        total += max(0, b - max(a, last))
-        last = max(last, b)
-    return total
+# --- documents ------------------------------------------------------------------------------------------------------
 
 
-def digest(names: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+def rarity(docs: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """h, n: how often shingles that may be items' are found in all texts. wanted: h, of items."""
+    sent = docs.sparkSession.sparkContext.broadcast(Filter.of(wanted))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for _, hashes in texts(batch.column("text")):
+                for s in sizes:
+                    h = shingles(hashes, s)
+                    found.append(h[sent.value.has(h)])
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": n.astype(np.int64)})
 
-def one_block(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
-    rows = []
-    for text in texts(batch):
-        w = words(text)
-        spans, items = index.hits(w)
-        hit = union_length(spans)
-        names = {index.names[i] for i in items}
-        rows.append((len(w), hit, len(names), digest(names), hit > 0))
-    columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {n: pa.array(c, k) for n, c, k in zip(columns, cols, kinds, strict=True)})
+    return docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def several_blocks(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
-    """A row for each document with a hit: where, and the items."""
-    out = {"row": [], "starts": [], "ends": [], "items": []}
-    for row, text in zip(batch.column("__row").to_pylist(), texts(batch), strict=True):
-        spans, items = index.hits(words(text))
-        if spans:
-            out["row"].append(row)
-            out["starts"].append([a for a, _ in spans])
-            out["ends"].append([b for _, b in spans])
-            out["items"].append([index.names[i] for i in items])
-    many = pa.list_(pa.int32())
-    return pa.RecordBatch.from_pydict({"row": pa.array(out["row"], pa.int64()), "starts": pa.array(out["starts"], many), "ends": pa.array(out["ends"], many), "items": pa.array(out["items"], pa.list_(pa.string()))})
+def prefixes(docs: DataFrame, bench: DataFrame) -> tuple[DataFrame, list[int]]:
+    """h, place, m, words and items of each window, by its rarest shingle; the numbers of words in shingles."""
+    own = item_windows(bench)
+    sizes = sorted(r.s for r in own.select("s").distinct().collect())  # three at most
+    each = own.select("words", F.posexplode("shingles").alias("place", "h"))
+    often = rarity(docs, own.select(F.explode("shingles").alias("h")), sizes)
+    rarest = each.join(often, "h", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "h", "place")).alias("r"))
+    return written(rarest.join(own, "words").select("r.h", "r.place", "m", "words", "items"), "prefixes"), sizes
 
 
-def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """RESULT for each document."""
-    from_blocks, slim = blocks(bench), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first, second = next(from_blocks, []), next(from_blocks, None)
-    if second is None:
-        return probe(slim, first, RESULT, one_block)
-    return merged(slim, chain([first, second], from_blocks))
-
-
-def hit_rows(rows: DataFrame, blocks_: Iterator[list[tuple[str, bytes]]]) -> DataFrame:
-    """rows: a written table. A row for each document and block with a hit; each block reads the table twice."""
-    schema, found = "row bigint, starts array<int>, ends array<int>, items array<string>", None
-    for block in blocks_:
-        part = probe(rows.select("__row", "text"), block, schema, several_blocks)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def merged(docs: DataFrame, blocks_: Iterator[list[tuple[str, bytes]]]) -> DataFrame:
-    # Rows are numbered once, in a written table: doc_ids may repeat.
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-    found = hit_rows(rows, blocks_)
-    flat = found.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-    both = rows.join(flat, rows["__row"] == flat["row"], "left").select("doc_id", "text", "starts", "ends", "items")
+def candidates(docs: DataFrame, index: DataFrame, sizes: list[int], carry: tuple[str, ...]) -> DataFrame:
+    """carry, n_words and places of each document: shingles that may be prefixes, and the words about them."""
+    sent = docs.sparkSession.sparkContext.broadcast(Filter.of(index.select("h")))
+    place = pa.struct([("h", pa.int64()), ("start", pa.int32()), ("at", pa.int32()), ("near", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(words(t)) for t in texts(batch)]
-            spans = [list(zip(a or [], b or [], strict=True)) for a, b in zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
-            items = [set(x or ()) for x in batch.column("items").to_pylist()]
-            hit = [union_length(s) for s in spans]
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_hit": pa.array(hit, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()), "items_sha256": pa.array([digest(x) for x in items], pa.string()), "contaminated": pa.array([h > 0 for h in hit], pa.bool_())}
-            )
+            counts, places = [], []
+            for text, hashes in texts(batch.column("text")):
+                counts.append(len(hashes))
+                w, own = [], []
+                for s in sizes:
+                    h = shingles(hashes, s)
+                    for i in np.flatnonzero(sent.value.has(h)).tolist():
+                        w = w or text.split()
+                        a = max(0, i - WINDOW + 1)
+                        own.append({"h": int(h[i : i + 1].view(np.int64)[0]), "start": a, "at": i - a, "near": w[a : i + WINDOW]})
+                places.append(own)
+            kept = [batch.column(c) for c in carry]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(places, pa.list_(place))], [*carry, "n_words", "places"])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in carry) + ", n_words bigint, places array<struct<h: bigint, start: int, at: int, near: array<binary>>>"
+    return docs.select(*carry, "text").mapInArrow(run, schema)
+
+
+def verified(found: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """key, start, m, items: windows that documents hold. found: key and p, a place."""
+    fits = (F.col("p.at") >= F.col("place")) & (F.col("p.at") - F.col("place") + F.col("m") <= F.size("p.near"))
+    exact = F.slice("p.near", F.col("p.at") - F.col("place") + 1, F.col("m")) == F.col("words")
+    both = found.join(index, found["p.h"] == index["h"]).where(fits & exact)
+    return both.select(key, (F.col("p.start") + F.col("p.at") - F.col("place")).alias("start"), "m", "items")
+
+
+def union_length(spans: Column) -> Column:
+    """The number of words in the union of spans, which are sorted structs of start and m."""
+    begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    end = lambda x: x["start"] + x["m"]
+    more = lambda a, x: F.greatest(F.lit(0), end(x) - F.greatest(a["end"], x["start"]))
+    return F.aggregate(spans, begin, lambda a, x: F.struct(F.greatest(a["end"], end(x)).alias("end"), (a["n"] + more(a, x)).alias("n")), lambda a: a["n"])
 
-    return both.mapInArrow(run, RESULT)
+
+def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    index, sizes = prefixes(slim, bench)
+    base = written(candidates(slim, index, sizes, ("doc_id",)).withColumn("uid", F.monotonically_increasing_id()), "places")
+    none, some = base.where("size(places) = 0"), base.where("size(places) > 0")
+    hits = verified(some.select("uid", F.explode("places").alias("p")), index, "uid")
+    by_doc = hits.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("start", "m"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    both = some.select("uid", "doc_id", "n_words").join(by_doc, "uid", "left")
+    shown = lambda df, hit, n, names: df.select("doc_id", "n_words", hit.alias("n_hit"), n.cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    zero = F.lit(0).cast("long")
+    hit = F.coalesce(union_length(F.col("spans")), zero)
+    return shown(none, zero, zero, F.lit("")).unionByName(shown(both, hit, F.greatest(F.coalesce(F.size("items"), zero), zero), F.coalesce(F.array_join("items", ","), F.lit(""))))
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of any item."""
-
-    def keep(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
-        return batch.filter(pa.array([not index.hits(words(t))[0] for t in texts(batch)], pa.bool_()))
-
-    from_blocks = blocks(bench)
-    first, second = next(from_blocks, []), next(from_blocks, None)
-    if second is None:
-        return probe(docs, first, docs.schema, keep)
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-    hit = hit_rows(rows, chain([first, second], from_blocks)).select(F.col("row").alias("__row"))
-    return rows.join(hit, "__row", "left_anti").select(*docs.columns)
+    named = identified(docs)
+    index, sizes = prefixes(docs, bench)
+    found = candidates(named, index, sizes, ("__file", "__row")).where("size(places) > 0")
+    found = written(found.select(F.struct("__file", "__row").alias("id"), F.explode("places").alias("p")), "places")
+    gone = verified(found, index, "id").select("id.*").distinct()
+    return named.join(gone, ["__file", "__row"], "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
