@@ -1,13 +1,14 @@
 """SimHash near-dedup with pigeonring filtering.
 
-A fingerprint has bit i set if more than half of the shingles' hashes have. Two fingerprints that differ in at most
-`limit` bits, cut into m segments on a ring, have a segment from which every chain of consecutive segments stays
-within its share, limit * length / m, of the differences. With 64 bits, 2 differences and 4 segments the shares are 0,
-1, 1 and 2: the first segment is equal, and of the two after it one is equal as well. So a pair of equal segments is
-the key under which candidates meet, the chains prune them, and the full Hamming distance decides.
-
-Equal fingerprints are one node. Candidates of a key are compared in blocks, and only a spanning forest of their links
-leaves the task. A key with more than `HOT` different fingerprints is not compared at all: every fingerprint of it
+A fingerprint has bit i set if more than half of the shingles' hashes have. Cut two fingerprints that differ in at most
+2 bits into four segments on a ring: from some segment on, every chain of consecutive segments stays within its share
+of the differences, which is 0 for one segment, 1 for two and three, and 2 for all. So that first segment is equal, and
+of the two after it one is equal as well: a pair of equal segments is the key under which candidates meet. The third
+segment of such a chain may differ in one bit at most, which is asked first and drops almost every candidate; only
+what is left has its whole Hamming distance taken.
+
+Equal fingerprints are one node. Candidates of a key are compared offset by offset, and only a spanning forest of their
+links leaves the task. A key with more than `HOT` different fingerprints is not compared at all: every fingerprint of it
 names the places at one bit's distance from itself, and two that are two bits apart name one in common; that is linear
 and exact, so no group is too large and no link is lost.
 
@@ -25,12 +26,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import input_bytes, mix64, parts, utf8, written
-from .components import components
+from .common import hashed_texts, identified, known, mix64, parts, utf8, windows, written
+from .components import components, thinned
 
-HOT = 20_000
+HOT = 1024
+LIMIT, SEGMENTS = 2, 4
+WIDTH = 64 // SEGMENTS
+PAIRS = list(combinations(range(SEGMENTS), 2))
 SLICE = 1 << 16  # shingles that are hashed and counted at a time
 BIT = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
@@ -48,104 +51,81 @@ def shingle_hashes(words: list[bytes], size: int, seed: int = 42) -> Iterator[np
         yield np.array([digest(b" ".join(s), seed) for s in zip(*(part[k:] for k in range(size)), strict=False)], np.uint64)
 
 
-def fingerprint(words: list[bytes], size: int, lanes: int = 1) -> np.ndarray:
-    """`lanes` 64-bit words; the first is of the hashes themselves, the others of the hashes mixed anew."""
-    counts, total = np.zeros((lanes * 8, 256), np.int64), 0
+def fingerprint(words: list[bytes], size: int) -> int:
+    counts, total = np.zeros((8, 256), np.int64), 0
     for h in shingle_hashes(words, size):
         total += len(h)
-        for lane in range(lanes):
-            v = h if lane == 0 else mix64(h + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64))
-            for k in range(8):
-                counts[lane * 8 + k] += np.bincount((v >> np.uint64(8 * k)).astype(np.uint8), minlength=256)
-    ones = (counts @ BIT).reshape(lanes, 64)
-    return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<u8").ravel()
+        for k in range(8):
+            counts[k] += np.bincount((h >> np.uint64(8 * k)).astype(np.uint8), minlength=256)
+    ones = (counts @ BIT).ravel()
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3, lanes: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp (bigint; for several lanes also bits, binary)."""
-    wide = lanes > 1
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = utf8(batch.column("text"))
             data = buf.tobytes()
-            fps = [fingerprint(data[a:b].lower().split(), size, lanes) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            out = {"doc_id": batch.column("doc_id")}
-            if wide:
-                out["bits"] = pa.array([f.tobytes() for f in fps], pa.binary())
-            else:
-                out["fp"] = pa.array(np.array(fps, np.uint64).ravel().view(np.int64) if fps else [], pa.int64())
-            yield pa.RecordBatch.from_pydict(out)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, " + ("bits binary" if wide else "fp bigint"))
-
-
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each of n nodes that has a link, and the smallest node that links lead it to."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    node = np.flatnonzero(label != np.arange(n))
-    return node, label[node]
-
-
-def thinned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of links between any nodes: each to the smallest that these links lead to."""
-    if not len(a):
-        return a, b
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    node, root = forest(at[: len(a)], at[len(a) :], len(nodes))
-    return nodes[node], nodes[root]
-
-
-def near(fps: np.ndarray, limit: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of fingerprints under one key: the pigeonring's chains first, then the whole distance."""
-    width = 64 // segments
-    mask = np.uint64((1 << width) - 1)
-    found_a, found_b = [], []
-    step = max(1, (1 << 22) // max(1, len(fps)))
-    for i in range(0, len(fps), step):
-        x = fps[i : i + step, None] ^ fps[None, :]
-        a, b = np.nonzero(np.triu(np.ones(x.shape, bool), i + 1))
-        d = x[a, b]
-        per = np.stack([np.bitwise_count(d >> np.uint64(width * s) & mask) for s in range(segments)])
-        chain = np.zeros(len(d), bool)
-        for s in range(segments):
-            ok, total = np.ones(len(d), bool), np.zeros(len(d), np.int64)
-            for k in range(segments):
-                total += per[(s + k) % segments]
-                ok &= total * segments <= limit * (k + 1)
-            chain |= ok
-        hit = chain & (np.bitwise_count(d) <= limit)
-        found_a.append(a[hit] + i)
-        found_b.append(b[hit])
-    return np.concatenate(found_a), np.concatenate(found_b)
-
-
-def links(fps: DataFrame, limit: int = 2, segments: int = 4) -> DataFrame:
+            fps = [fingerprint(data[a:b].lower().split(), size) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+
+
+def segment(i: int) -> int:
+    """The bits of segment i of the ring."""
+    return ((1 << WIDTH) - 1) << WIDTH * (i % SEGMENTS)
+
+
+def chains(pair: tuple[int, int]) -> list[int]:
+    """For two equal segments, the bits of the third one of each chain of three that starts with an equal segment."""
+    return [segment(3 * s + 3 - pair[0] - pair[1]) for s in pair if set(pair) <= {(s + k) % SEGMENTS for k in range(3)}]
+
+
+#: For each pair of segments two such masks; the same twice where there is one chain.
+THIRD = np.array([(chains(p) * 2)[:2] for p in PAIRS], np.uint64)
+
+
+def chained(x: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Whether differences x of fingerprints that agree in a pair of segments have a chain of three within its share."""
+    share = LIMIT * 3 // SEGMENTS
+    return (np.bitwise_count(x & THIRD[pair, 0]) <= share) | (np.bitwise_count(x & THIRD[pair, 1]) <= share)
+
+
+def near(fp: np.ndarray, pair: np.ndarray, left: np.ndarray, seen: list[tuple[int, int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows that are grouped by key; left: how many rows of its key follow each. seen: gets the numbers of
+    candidates, of those that the chains leave, and of links."""
+    found, at, d = [np.zeros((2, 0), np.int64)], np.flatnonzero(left), 1
+    while len(at):
+        x = fp[at] ^ fp[at + d]
+        keep = np.flatnonzero(chained(x, pair[at]))
+        hit = at[keep][np.bitwise_count(x[keep]) <= LIMIT]
+        found.append(np.stack((hit, hit + d)))
+        if seen is not None:
+            seen.append((len(at), len(keep), len(hit)))
+        d += 1
+        at = at[left[at] >= d]
+    a, b = np.concatenate(found, axis=1)
+    return a, b
+
+
+def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     """fps: different fp. Links a, b that connect what links of at most `limit` bits connect."""
-    if limit * 2 != segments:
-        raise ValueError("keys of two equal segments need limit * 2 == segments")
-    width = 64 // segments
-    pairs = list(combinations(range(segments), 2))
+    if limit != LIMIT:
+        raise ValueError(f"keys, chains and places are those of {LIMIT} bits")
 
     def masked(i: int, j: int) -> int:
-        m = ((1 << width) - 1) << (width * i) | ((1 << width) - 1) << (width * j)
+        m = segment(i) | segment(j)
         return m - (1 << 64) if m >= 1 << 63 else m
 
-    keys = F.array(*[F.struct(F.lit(k).alias("pair"), F.col("fp").bitwiseAND(F.lit(masked(i, j))).alias("key")) for k, (i, j) in enumerate(pairs)])
-    keyed = written(fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.pair", "k.key"), "keyed")
+    fps = known(fps)
+    keys = F.array(*[F.struct(F.lit(k).alias("pair"), F.col("fp").bitwiseAND(F.lit(masked(i, j))).alias("key")) for k, (i, j) in enumerate(PAIRS)])
+    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.pair", "k.key")
     hot = keyed.groupBy("pair", "key").count().where(F.col("count") > HOT).select("pair", "key")
-    buckets = max(8, min(100_000, input_bytes(keyed) // (4 << 20)))
+    buckets = parts(fps, 1 << 20)  # six keys for each
     cold = keyed.join(hot, ["pair", "key"], "left_anti")
-    schema = "a bigint, b bigint"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
@@ -157,21 +137,11 @@ def links(fps: DataFrame, limit: int = 2, segments: int = 4) -> DataFrame:
         fp, pair, key = fp[order], pair[order], key[order]
         at = np.append(np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (key[1:] != key[:-1])))), len(fp))
         size = np.diff(at)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        two = at[:-1][size == 2]  # most keys
-        d = fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)
-        hit = np.bitwise_count(d) <= limit
-        out_a.append(fp[two][hit])
-        out_b.append(fp[two + 1][hit])
-        for s, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            own = fp[s : s + n]
-            node, root = forest(*near(own.view(np.uint64), limit, segments), n)
-            out_a.append(own[node])
-            out_b.append(own[root])
-        a, b = thinned(np.concatenate(out_a), np.concatenate(out_b))
+        a, b = near(fp.view(np.uint64), pair, np.repeat(at[1:], size) - np.arange(len(fp)) - 1)
+        a, b = thinned(fp[a], fp[b])
         yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
-    near_links = cold.repartition(buckets, "pair", "key").mapInArrow(compare, schema)
+    near_links = cold.repartition(buckets, "pair", "key").mapInArrow(compare, "a bigint, b bigint")
     free = F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(64)])
     places = F.concat(F.array(F.col("fp")), F.transform(free, lambda m: F.col("fp").bitwiseXOR(m)))
     balls = keyed.join(hot, ["pair", "key"]).select("fp").distinct().select("fp", F.explode(places).alias("place"))
@@ -180,11 +150,11 @@ def links(fps: DataFrame, limit: int = 2, segments: int = 4) -> DataFrame:
     return near_links.unionByName(hot_links)
 
 
-def linked(docs: DataFrame, size: int = 3, limit: int = 2, segments: int = 4) -> DataFrame:
+def linked(docs: DataFrame, size: int = 3, limit: int = LIMIT) -> DataFrame:
     """doc_id, fp, component_id."""
     marks = written(fingerprints(docs, size), "simhash")
     nodes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash")
-    roots = components(links(nodes.select("fp"), limit, segments))
+    roots = components(links(nodes.select("fp"), limit))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
@@ -205,52 +175,57 @@ def linked(docs: DataFrame, size: int = 3, limit: int = 2, segments: int = 4) ->
 # components that this has left apart.
 
 COUNTERS, BLOCKS, RUN, RING = 1 << 20, 16, 16, 8
-WORDS: dict[bytes, int] = {}
-
-
-def shingle_set(words: list[bytes], size: int) -> np.ndarray:
-    """The hashes of all runs of `size` words, each once and sorted; of all words, if they are fewer."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(WORDS) > 1 << 18:
-        WORDS.clear()
-    for w in set(words).difference(WORDS):
-        WORDS[w] = xxhash.xxh64_intdigest(w)
-    h = np.array([WORDS[w] for w in words], np.uint64)
-    size = min(size, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
-    for k in range(size):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)])
-    return np.unique(out)
+PARTITIONS = 8192  # of a shuffle
+def node_of(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Of each text the hashes of all runs of `size` words, each once and sorted; of all words, if they are fewer."""
     buf, off = utf8(column)
-    data = buf.tobytes()
-    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-        yield shingle_set(data[a:b].lower().split(), size)
+    for h in hashed_texts(np.frombuffer(buf.tobytes().lower(), np.uint8), off):
+        s = windows(h[:, 0], max(1, min(size, len(h))), 0xC2B2AE3D27D4EB4F)
+        s.sort()
+        yield s[np.append(True, s[1:] != s[:-1])] if len(s) else s
 
 
-def rarity(docs: DataFrame, size: int) -> np.ndarray:
-    """About how many documents have a shingle, by its hash modulo COUNTERS."""
+def marked(docs: DataFrame, size: int) -> DataFrame:
+    """One reading of all texts. For each document file, row, doc_id and node; and, as rows with a block, about how many
+    documents of each task have a shingle, by its hash modulo COUNTERS."""
     each = COUNTERS // BLOCKS
+    names = ["file", "row", "doc_id", "node", "block", "counts"]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
+            nodes = []
             for s in shingle_sets(batch.column("text"), size):
+                nodes.append(node_of(s))
                 np.add.at(counts, s.astype(np.int64) & COUNTERS - 1, 1)
+            own = [batch.column("__file"), batch.column("__row"), batch.column("doc_id"), pa.array(nodes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(nodes), k) for k in kinds[4:])], names)
         if counts.any():
             low = np.minimum(counts, 65535).astype(np.uint16).reshape(BLOCKS, each)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "counts": pa.array([r.tobytes() for r in low], pa.binary())})
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(BLOCKS, k) for k in kinds[:4]), pa.array(range(BLOCKS), pa.int32()), pa.array([r.tobytes() for r in low], pa.binary())], names)
+
+    out = docs.select("__file", "__row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file bigint, row bigint, doc_id bigint, node bigint, block int, counts binary")
+    return written(out, "marked")
 
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_py(), np.uint16).astype(np.int64) for c in t.column("counts"))
-        return pa.table({"block": t.column("block")[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+def rarity(marks: DataFrame) -> np.ndarray:
+    """The counters of all tasks together."""
+    each = COUNTERS // BLOCKS
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(each, np.int64)
+        for batch in batches:
+            for c in batch.column("counts"):
+                total += np.frombuffer(c.as_buffer(), np.uint16)
+        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     out = np.zeros((BLOCKS, each), np.uint32)
-    schema = "block int, counts binary"
-    for r in docs.select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect():
+    for r in marks.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         out[r.block] = np.frombuffer(r.counts, np.uint32)
     return out.ravel()
 
@@ -267,16 +242,17 @@ def ring_pairs(n: np.ndarray, place: np.ndarray, most: int) -> Iterator[tuple[np
         yield i + d, i
 
 
-def candidates(marked: DataFrame, size: int) -> DataFrame:
+def candidates(docs: DataFrame, marks: DataFrame, size: int) -> DataFrame:
     """a, b: pairs to compare, some of them often. Where b is null, a is a node of a run of over RUN, with key, n, place."""
-    counts = marked.sparkSession.sparkContext.broadcast(rarity(marked, size))
-    buckets = parts(marked, 1 << 20)
+    counts = docs.sparkSession.sparkContext.broadcast(rarity(marks))
+    buckets = parts(docs, 1 << 20)
     row = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, seen = [np.zeros(0, row)], set()
-            for node, s in zip(batch.column("__node").to_pylist(), shingle_sets(batch.column("text"), size), strict=True):
+            for s in shingle_sets(batch.column("text"), size):
+                node = node_of(s)
                 if node in seen or not len(s):
                     continue
                 seen.add(node)
@@ -313,8 +289,8 @@ def candidates(marked: DataFrame, size: int) -> DataFrame:
         fill = lambda x, n: pa.nulls(n, pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).astype(np.int64))
         return pa.table({c: pa.chunked_array([fill(x, len(none)), fill(y, len(own))]) for c, (x, y) in zip(("a", "b", "key", "n", "place"), lists, strict=True)})
 
-    dealt = marked.select("__node", "text").mapInArrow(deal, "bucket int, rows binary")
-    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, key bigint, n bigint, place bigint")
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, rows binary")
+    return dealt.repartitionById(min(buckets, PARTITIONS), F.col("bucket")).groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, key bigint, n bigint, place bigint")
 
 
 def apart(hot: DataFrame, roots: DataFrame) -> DataFrame:
@@ -335,10 +311,10 @@ def apart(hot: DataFrame, roots: DataFrame) -> DataFrame:
     return left.groupBy("key").applyInArrow(cross, "a bigint, b bigint")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """pairs: a, b. Those whose sets of shingles have a similarity of 0.8 or more. texts: node, text."""
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """pairs: a, b. Those whose sets of shingles have a similarity of 0.8 or more, by the texts of the nodes' first rows."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.file").alias("__file"), F.col("first.row").alias("__row"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,32 +331,26 @@ def similar(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 keep.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = written(texts.join(wanted, "node", "left_semi").mapInArrow(sets, "node bigint, shingles binary"), "sets")
+    own = written(docs.select("__file", "__row", "text").join(wanted, ["__file", "__row"]).select("node", "text").mapInArrow(sets, "node bigint, shingles binary"), "sets")
     with_a = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    return written(with_a.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "similar")
+    both = with_a.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return written(both.mapInArrow(verify, "a bigint, b bigint"), "similar")
 
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays."""
-    columns, schema = docs.columns, docs.schema
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = [xxhash.xxh64_intdigest(s.tobytes()) for s in shingle_sets(batch.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(nodes, np.uint64).view(np.int64))], [*batch.schema.names, "__node"])
-
-    marked = written(docs.mapInArrow(mark, T.StructType([*schema.fields, T.StructField("__node", T.LongType())])).withColumn("__row", F.monotonically_increasing_id()), "marked")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__row"))
-    nodes = written(marked.groupBy(F.col("__node").alias("node")).agg(first.alias("first")), "nodes")
-    texts = marked.join(nodes.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(F.col("__node").alias("node"), "text")
-    found = written(candidates(marked, size), "candidates")
-    links = similar(found.where("b is not null").select("a", "b"), texts, size)
+    named = identified(docs)
+    marks = marked(named, size)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "file", "row"))
+    nodes = written(marks.where("block is null").groupBy("node").agg(first.alias("first")), "nodes")
+    found = written(candidates(named, marks, size), "candidates")
+    links = similar(found.where("b is not null").select("a", "b"), nodes, named, size)
     roots = components(links)
     hot = found.where("b is null").select("a", "key", "n", "place")
     if not hot.isEmpty():
-        roots = components(links.unionByName(similar(apart(hot, roots), texts, size)))
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return marked.join(kept, "__row", "left_semi").select(*columns)
+        roots = components(links.unionByName(similar(apart(hot, roots), nodes, named, size)))
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.file").alias("__file"), F.col("first.row").alias("__row"))
+    return named.join(kept, ["__file", "__row"], "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
