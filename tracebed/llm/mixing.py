@@ -3,11 +3,12 @@
 Every document gets a hash-random key. The key's leading digits cut each source into ranges of equal share, 4096 or,
 of a large input, as many as keep each near `RANGE_BYTES`; the ranges' sums give distributed prefix sums, and only
 rows of one range are ever sorted together. Prefix sums are exact, so the number of ranges does not show. Each source is
-cut at its exact budget, after as many whole epochs as the budget holds.
+cut at its exact budget, after as many whole epochs as the budget holds. Texts are measured where they are read; what is
+shuffled, once, is a row of numbers for each document, and the same shuffle gives both the ranges' sums and the order.
 
-Nulls: a null text has size 0, a null source is a source of its own and ranks last, a null doc_id has a key of its own.
-Repeated rows are separate documents; equal keys are ordered by doc_id and size, so ties cannot change the result.
-An empty table gives an empty result; other columns are ignored.
+Nulls: a null text has size 0, a null source is a source of its own and ranks last; all null doc_ids share one key, as
+all repeats of a doc_id do. Repeated rows are separate documents; equal keys are ordered by doc_id, size and a hash of
+the text, so that what ties are left are equal rows. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, parts, written
+from .common import WORD, identified, parts
 
 RANGE_BYTES = 256 << 20
 
@@ -45,36 +46,40 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix:", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted), for each document."""
+    digits = len(f"{parts(docs, RANGE_BYTES, least=1 << 8):x}")  # hexadecimal digits of the key that name its range
     name = F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    base = written(sized(docs).select("doc_id", "source", "size", F.md5(name).alias("key"), *carry), "mix")
-    digits = len(f"{parts(base, RANGE_BYTES, least=1 << 8):x}")  # hexadecimal digits of the key that name its range
+    base = sized(docs).select("doc_id", "source", "size", F.md5(name).alias("key"), F.xxhash64("text").alias("mark"), *carry)
     base = base.withColumn("range", F.substring("key", 1, digits))
+    # Both uses of `rows` order by all columns, so that neither is pruned and Spark runs the shuffle once.
+    here = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "mark", *carry)
+    upto = F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, 0))
+    rows = base.withColumn("place", F.row_number().over(here)).withColumn("upto", upto)
     same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) for c in cols]
-    sums = base.groupBy("source", "range").agg(F.sum("size").alias("sum"))
+    sums = rows.groupBy("source", "range").agg(F.max_by("upto", "place").alias("size"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sums.withColumn("ahead", F.coalesce(F.sum("sum").over(ahead), F.lit(0)))
-    plan = targets(base, weights, most)
+    ranges = sums.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    plan = targets(sums, weights, most)
     ranges = ranges.join(plan, same(ranges, plan, "source")).select(ranges["source"], "range", "ahead", "source_size", "target")
-    here = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    base = base.withColumn("within", F.coalesce(F.sum("size").over(here), F.lit(0)))
-    out = base.join(ranges, same(base, ranges, "source", "range")).drop(ranges["source"]).drop(ranges["range"])
+    out = rows.join(ranges, same(rows, ranges, "source", "range")).drop(ranges["source"]).drop(ranges["range"])
     budget = F.floor("target")
     epochs = F.coalesce(F.expr("floor(target) div nullif(source_size, 0)"), F.lit(0))
-    rest = budget - epochs * F.col("source_size") - F.col("ahead") - F.col("within")
+    rest = budget - epochs * F.col("source_size") - F.col("ahead") - (F.col("upto") - F.col("size"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
     return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
 
 
 def materialise(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document once per whole epoch, and the part of it that the budget cuts as its first words."""
-    columns = docs.columns
-    packed = docs.withColumn("__row", F.struct(*columns))
-    out = mix(packed, carry=("__row",), **options).where("taken > 0").withColumn("__size", F.col("size"))
-    whole = F.expr("taken div __size")
-    out = out.select(F.explode(F.sequence(F.lit(1), F.expr("cast(ceil(taken / __size) as int)"))).alias("__copy"), whole.alias("__whole"), (F.col("taken") % F.col("__size")).cast("int").alias("__words"), "__row")
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("__row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__words")), " ")
-    text = F.when(F.col("__copy") <= F.col("__whole"), F.col("__row.text")).otherwise(cut)
-    return out.select(*[(text if c == "text" else F.col("__row")[c]).alias(c) for c in columns])
+    """The mix itself: each document once per whole epoch, and the part of it that the budget cuts as its first words.
+
+    The mix is worked out without texts; what is taken of a row comes back to it by file and row number."""
+    columns, named = docs.columns, identified(docs)
+    taken = mix(named, carry=("__file", "__row"), **options).where("taken > 0").select("__file", "__row", F.col("taken").alias("__taken"), F.col("size").alias("__size"))
+    out = named.join(taken, ["__file", "__row"])
+    copies = F.sequence(F.lit(1), F.expr("cast(ceil(__taken / __size) as int)"))
+    out = out.withColumn("__copy", F.explode(copies))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), (F.col("__taken") % F.col("__size")).cast("int")), " ")
+    text = F.when(F.col("__copy") <= F.expr("__taken div __size"), F.col("text")).otherwise(cut)
+    return out.select(*[(text if c == "text" else F.col(c)).alias(c) for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
