@@ -1,5 +1,11 @@
 """Which region of a page is kept, and what class names put aside."""
 
+import random
+import re
+from html import unescape
+
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tracebed.llm import html
@@ -36,3 +42,58 @@ def test_comments_stay_aside():
     assert html.main_text(f"<body><div class=comments><p>{LONG}</p></div></body>") == TEXT  # nothing else is left
     assert html.main_text(f"<body><div class=ad>{MUCH}</div><article><p>{LONG}</p></article></body>") == TEXT
     assert html.main_text(f"<body><div class=sidebar>{MUCH}</div><article><p>{LONG}</p></article></body>") == TEXT
+
+
+def brute_content(lines):
+    """Text per tag, Gaussian weights of two neighbours on each side, and one standard deviation, by definition."""
+    ratio = np.array([0 if aside else len(text) / max(1, tags) for text, tags, aside, _ in lines])
+    at = np.arange(len(ratio))
+    weight = np.exp(-((at[:, None] - at) ** 2) / 2) * (abs(at[:, None] - at) <= 2)
+    smooth = (weight * ratio).sum(axis=1) / weight.sum(axis=1)
+    return [bool(s >= smooth.std() and not line[2]) for s, line in zip(smooth, lines, strict=True)]
+
+
+def test_content_lines_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        lines = [("x" * rng.choice([1, 5, 40, 300]), rng.randrange(1, 9), rng.random() < 0.2, ()) for _ in range(rng.randrange(1, 40))]
+        assert html.content(lines) == brute_content(lines)
+
+
+def given_pages():
+    return [x for x in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist() if x]
+
+
+def test_pages_by_construction():
+    """The given pages are a menu, an advert, an article and a footer: its blocks, by regular expressions."""
+    blocks = re.compile(r"<(?:h1|p)>((?:(?!</?(?:h1|p)>).)*)", re.S)
+    for page in given_pages():
+        article = page.partition("<article>")[2].partition("</article>")[0]
+        texts = [" ".join(unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in blocks.findall(article)]
+        assert html.main_text(page) == "\n\n".join(x for x in texts if x)
+
+
+def test_ratios_find_the_article_without_names(monkeypatch):
+    """Without the article's tag and the advert's class the ratios select, on nearly all pages; without them nothing does."""
+    pages = given_pages()
+    bare = [p.replace("<article>", "<div>").replace("</article>", "</div>").replace(' class="ad"', "") for p in pages]
+    texts = [html.main_text(p) for p in pages]
+    found = sum(html.main_text(b) == t for b, t in zip(bare, texts, strict=True))
+    monkeypatch.setattr(html, "content", lambda lines, linked=None: [not line[2] for line in lines])
+    blind = sum(html.main_text(b) == t for b, t in zip(bare, texts, strict=True))
+    assert found >= 0.9 * len(pages) and blind <= 0.1 * len(pages)
+
+
+LINKS = [f"<a href=/{i}>Link number {i}</a>" for i in range(30)]
+
+
+@pytest.mark.parametrize("group", [f"<div class=toplinks>{' '.join(LINKS)}</div>", f"<ul>{''.join(f'<li>{x}' for x in LINKS)}</ul>", f"<div>{''.join(f'<div>{x}</div>' for x in LINKS)}</div>"])
+def test_groups_of_links_go(group):
+    for page in (f"<body>{group}<div><h1>T</h1>{MUCH}</div>", f"<body><article><h1>T</h1>{group}{MUCH}</article>", f"<body><article><h1>T</h1>{MUCH}{group}</article>"):
+        assert html.main_text(page).split("\n\n") == ["T", *PARTS]
+    assert html.main_text(f"<article><h1>T</h1>{MUCH}<ul><li>one<li><a href=x>two</a></ul><div class=adbox>Buy</div></article>").split("\n\n") == ["T", *PARTS, "one", "two"]
+
+
+def test_deep_nesting_and_repeats():
+    deep = "<div>" * 3000 + f"<p>{LONG * 3}</p>" + "</div>" * 3000
+    assert html.main_text(f"<body>{deep}</body>") == (LONG * 3).strip()

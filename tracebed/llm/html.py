@@ -1,12 +1,16 @@
 """Main text of HTML pages: text-to-tag ratios of lines, smoothed and clustered, select the content region.
 
-The standard library's parser streams a page as events; a line is what stands between two block boundaries. Lines in
-elements that are never the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments, by tag, role or words of class and id) are put aside. Words of layout do not count, nor do class and
-id of an element with a main element or most of the text, comments, adverts and teasers excepted, nor any if nothing is left. Of the others the ratio of text to tags is
-smoothed with a Gaussian and split at one standard deviation into content and the rest; the region is all article
-elements, or the main element if it has more content, where these hold most of the content; else it is the innermost
-element that holds all content and a heading before it. Every line of the region is kept, short ones too, as a block.
+The standard library's parser streams a page as events; a line is what stands between two block boundaries. The ratio
+of each line's text to its tags is smoothed with a Gaussian and split at one standard deviation into content and the
+rest. The region is the innermost element that holds all content and a heading before it; where that is no article, it
+is all article elements, or the main element if it has more content, as far as these hold most of the content. Within
+the region every line is kept, short ones too, as a block, but for groups of links: lists and boxes that are
+links for over two thirds of their text; text of links does not count in ratios.
+
+What HTML itself, a role or a style says is no article (menus, footers, forms, scripts, hidden parts) has no ratio and
+is put aside first. Length cannot tell an advert, a notice or a reader's comment from the article; class and id do.
+Their words do not count where they name a layout, nor for an element with a main element or most of the text, comments,
+adverts and teasers excepted, nor at all if nothing is left.
 
 Nulls: a null html is empty; pages without text have the empty string; null ids, null urls and repeated rows keep
 their rows. Unclosed and misnested tags are closed as browsers do. An empty table gives an empty result.
@@ -27,18 +31,19 @@ RESULT = "page_id bigint, url string, text string, n_chars bigint"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul caption title".split())
 CONTAINER = frozenset("article body center div main section table tbody td".split())
+LIST = frozenset("dl menu ol ul".split())  # groups of lines, but no regions
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 IN_HEAD = frozenset("base bgsound link meta noscript script style template title".split())
 NEVER = frozenset("applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input map menu nav noframes noscript object option script search select style svg template textarea title video".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widgets?|footer|header|masthead|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|search\w*|toolbar|skip|copyright|disclaimer|alert|topbar|paywall)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block|space|wrap|area)\w*|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widgets?|footer|header|masthead|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommend\w*|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|search\w*|toolbar|skip|copyright|disclaimer|alert|topbar|paywall)(?=$|[\s_-])",
     re.I,
 )
 #: Words of layout: a wrapper that has a sidebar, say, is none.
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:(?:has|with|without|no|text|bg)[_-]\S*|\S*[_-](?:fixed|layout|wrapper|wrap|container))(?=$|\s)|(?<![^\s])\S*[_-](?:has|with|without|no)[_-]\S*", re.I)
 #: What readers write, adverts and other pages' teasers are no article, however long.
-OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|replies|reply|related|recommend\w*)(?=$|[\s_-])", re.I)
+OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block|space|wrap|area)\w*|advert\w*|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|replies|reply|related|recommend\w*)(?=$|[\s_-])", re.I)
 #: Elements that these start tags close.
 CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "optgroup": "option optgroup"}
 CLOSED_BY = {k: frozenset(v.split()) for k, v in CLOSED_BY.items()}
@@ -93,21 +98,30 @@ class Lines(HTMLParser):
         self.tags = 0
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.headings: list[bool] = []  # of lines
+        self.linked: list[int] = []  # of lines, the characters in links
+        self.links: list[int] = []  # and how many links
+        self.anchors = 0  # open links
+        self.in_links = [0, 0]  # characters of links in this line, and in what of it is put aside
+        self.seen_links = 0
 
     def end_line(self) -> None:
         for parts, aside in ((self.parts, False), (self.put_by, True)):
             if parts and (text := " ".join("".join(parts).split())):
                 self.lines.append((text, self.tags, aside, self.inside))
+                self.linked.append(self.in_links[aside])
+                self.links.append(self.seen_links)
+                self.seen_links = 0
                 self.headings.append(any(t in HEADING for t, _, _ in self.open))
                 self.tags = 0
         if self.parts or self.put_by:
-            self.parts, self.put_by = [], []
+            self.parts, self.put_by, self.in_links = [], [], [0, 0]
 
     def pop(self) -> None:
         tag, aside, container = self.open.pop()
         named, firm = self.marks.pop()
         self.aside -= aside
         self.firm -= firm
+        self.anchors -= tag == "a"
         if named:
             self.named.pop()
         if container >= 0:
@@ -152,12 +166,14 @@ class Lines(HTMLParser):
         self.firm += firm
         self.marks.append((named, firm))
         container = -1
-        if tag in CONTAINER:
+        if tag in CONTAINER or tag in LIST:
             container = len(self.kinds)
             self.kinds.append("article" if tag == "article" or any(k == "itemprop" and v == "articleBody" for k, v in attrs) else "main" if tag == "main" or ("role", "main") in attrs else tag)
             self.inside = (*self.inside, container)
             self.articles += tag == "article"
         self.aside += aside
+        self.anchors += tag == "a"
+        self.seen_links += tag == "a"
         self.open.append((tag, aside, container))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -179,6 +195,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         (self.put_by if self.aside else self.parts).append(data)
+        if self.anchors:
+            self.in_links[self.aside > 0] += len("".join(data.split()))
         if not self.firm:
             size = len("".join(data.split()))
             self.loose += size
@@ -195,31 +213,53 @@ def smoothed(ratios: list[float], radius: int = 2, sigma: float = 1.0) -> list[f
     return out
 
 
-def content(lines: list[tuple[str, int, bool, tuple[int, ...]]]) -> list[bool]:
-    """Which lines have a smoothed ratio of text to tags above one standard deviation."""
-    ratios = smoothed([0.0 if aside else len(text) / max(1, tags) for text, tags, aside, _ in lines])
+def content(lines: list[tuple[str, int, bool, tuple[int, ...]]], linked: list[int] | None = None) -> list[bool]:
+    """Which lines have a smoothed ratio of text to tags above one standard deviation. linked: how much of each is links,
+    which are not text here."""
+    ratios = smoothed([0.0 if aside else max(0, len(text) - less) / max(1, tags) for (text, tags, aside, _), less in zip(lines, linked or [0] * len(lines), strict=True)])
     mean = sum(ratios) / len(ratios)
     deviation = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     return [r >= deviation and not line[2] for r, line in zip(ratios, lines, strict=True)]
 
 
-def region(parser: Lines, lines: list[tuple[str, int, bool, tuple[int, ...]]], weight: dict[int, int], total: int) -> set[int] | None:
+def region(parser: Lines, hits: list[bool]) -> set[int] | None:
     """The containers whose lines are kept; None: all lines."""
-    articles = {c for c, kind in enumerate(parser.kinds) if kind == "article"}
-    mains = {c for c, kind in enumerate(parser.kinds) if kind == "main"}
-    hits = content(lines)
-    if not any(hits):
-        hits = [not line[2] for line in lines]
-    held = [(sum(len(line[0]) for hit, line in zip(hits, lines, strict=True) if hit and not own.isdisjoint(line[3])), own) for own in (articles, mains)]
+    lines = parser.lines
+    weight: dict[int, int] = {}
+    total = 0
+    for hit, (text, _, _, inside) in zip(hits, lines, strict=True):
+        if hit:
+            total += len(text)
+            for c in inside:
+                weight[c] = weight.get(c, 0) + len(text)
+    whole = [c for c in sorted(weight) if weight[c] == total and parser.kinds[c] not in LIST]  # numbered as they open: the innermost is last
+    first = hits.index(True)
+    before = [line[3] for heading, line in zip(parser.headings[: first + 1], lines, strict=False) if heading and not line[2]]
+    around = next((c for c in reversed(whole) if any(c in inside for inside in before)), None)
+    if around is None and whole and not before:
+        around = whole[-1]
+    chosen = [c for c in whole if around is not None and c <= around]
+    if any(parser.kinds[c] in ("article", "main") for c in chosen):
+        return {around}
+    held = []
+    for kind in ("article", "main"):
+        own = {c for c, k in enumerate(parser.kinds) if k == kind}
+        held.append((sum(len(line[0]) for hit, line in zip(hits, lines, strict=True) if hit and not own.isdisjoint(line[3])), own))
     most, named = max(held, key=lambda x: x[0])  # of equals the articles
     if 2 * most > total:
         return named
-    whole = [c for c in sorted(weight) if weight[c] == total]  # containers are numbered as they open: the innermost is last
-    first = hits.index(True)
-    for c in reversed(whole):
-        if any(h and not line[2] and c in line[3] for h, line in zip(parser.headings[: first + 1], lines, strict=False)):
-            return {c}
-    return {whole[-1]} if whole and not any(h and not line[2] for h, line in zip(parser.headings[: first + 1], lines, strict=False)) else None
+    return None if around is None else {around}
+
+
+def link_groups(parser: Lines) -> set[int]:
+    """Containers of three links or more that make up over two thirds of the text."""
+    size: dict[int, list[int]] = {}
+    for linked, links, (text, _, _, inside) in zip(parser.linked, parser.links, parser.lines, strict=True):
+        for c in inside:
+            n = size.setdefault(c, [0, 0, 0])
+            for k, v in enumerate((len("".join(text.split())), linked, links)):
+                n[k] += v
+    return {c for c, (all_, linked, links) in size.items() if links >= 3 and 3 * linked > 2 * all_}
 
 
 def parsed(html: str, spared: frozenset[int] | None = frozenset()) -> Lines:
@@ -239,24 +279,15 @@ def main_text(html: str) -> str:
     if parser.named_seen and not any(not line[2] for line in parser.lines):
         parser = parsed(html, None)
     lines = parser.lines
-    if not any(not line[2] for line in lines):
+    loose = [not line[2] for line in lines]
+    if not any(loose):
         return ""
-    weight: dict[int, int] = {}
-    total = 0
-    for hit, (text, _, aside, inside) in zip(content(lines), lines, strict=True):
-        if hit and not aside:
-            total += len(text)
-            for c in inside:
-                weight[c] = weight.get(c, 0) + len(text)
-    if not total:  # no line stands out
-        total, weight = 0, {}
-        for text, _, aside, inside in lines:
-            if not aside:
-                total += len(text)
-                for c in inside:
-                    weight[c] = weight.get(c, 0) + len(text)
-    inside_of = region(parser, lines, weight, total)
-    return "\n\n".join(text for text, _, aside, inside in lines if not aside and (inside_of is None or not inside_of.isdisjoint(inside)))
+    hits = content(lines, parser.linked)
+    if not any(hits):  # no line stands out
+        hits = loose
+    kept, gone = region(parser, hits), link_groups(parser)
+    own = [(text, inside) for text, _, aside, inside in lines if not aside and (kept is None or not kept.isdisjoint(inside))]
+    return "\n\n".join([text for text, inside in own if gone.isdisjoint(inside)] or [text for text, _ in own])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
