@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id ranks after all others
-#: Drops the shuffle files of an execution when it ends, so that steps of one operator do not add up on disk.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: How a step is run. Its shuffle files go when it ends, so that steps of one operator do not add up on disk; texts go to
+#: Python a few MB at a time, as workers and the buffers that feed them are many.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,12 +60,14 @@ def written(df: DataFrame, name: str, supersedes: DataFrame | None = None) -> Da
     supersedes: a frame that `written` returned, which nothing but df reads; its table goes."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
     try:
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
     if supersedes is not None:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import hashed_texts, identified, input_bytes, utf8, windows, written
 
 WINDOW, SHINGLE = 10, 3
-FILTER_BITS = 27  # of the largest filter, as a power of two: 16 MB
+FEW_BITS, FILTER_BITS = 24, 27  # of the smallest and the largest filter, as powers of two: 2 and 16 MB
 BLOCKS = 16
 STEP = 0xC2B2AE3D27D4EB4F
 #: Lower-cases A-Z; ASCII but letters and digits becomes space.
@@ -80,7 +80,7 @@ class Filter:
     @classmethod
     def of(cls, hashes: DataFrame) -> Filter:
         """hashes: h. About 16 bits for each, as far as `FILTER_BITS` allows; the driver gets no more than these bits."""
-        power = max(16, min(FILTER_BITS, (2 * max(1, input_bytes(hashes))).bit_length()))
+        power = max(10, min(FILTER_BITS, max(FEW_BITS, (2 * input_bytes(hashes)).bit_length())))
         each = (1 << power) // 8 // BLOCKS
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,8 @@ def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     index, sizes = prefixes(docs, bench)
     found = candidates(named, index, sizes, ("__file", "__row")).where("size(places) > 0")
     found = written(found.select(F.struct("__file", "__row").alias("id"), F.explode("places").alias("p")), "places")
-    gone = verified(found, index, "id").select("id.*").distinct()
+    # Written, so that Spark knows its size before it chooses how to join it.
+    gone = written(verified(found, index, "id").select("id.*").distinct(), "gone")
     return named.join(gone, ["__file", "__row"], "left_anti").select(*docs.columns)
 
 

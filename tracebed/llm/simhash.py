@@ -174,7 +174,7 @@ def linked(docs: DataFrame, size: int = 3, limit: int = LIMIT) -> DataFrame:
 # collisions of these. A shingle of more than `RUN` nodes is first compared along its ring, and then only between
 # components that this has left apart.
 
-COUNTERS, BLOCKS, RUN, RING = 1 << 20, 16, 16, 8
+COUNTERS, BLOCKS, RUN, RING, SKETCH = 1 << 20, 16, 16, 8, 256
 PARTITIONS = 8192  # of a shuffle
 def node_of(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
@@ -190,26 +190,28 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def marked(docs: DataFrame, size: int) -> DataFrame:
-    """One reading of all texts. For each document file, row, doc_id and node; and, as rows with a block, about how many
-    documents of each task have a shingle, by its hash modulo COUNTERS."""
+    """One reading of all texts. For each document file, row, doc_id, node and how many of its shingles have each of SKETCH
+    other hashes; and, as rows with a block, about how many documents of each task have a shingle, by its hash modulo
+    COUNTERS."""
     each = COUNTERS // BLOCKS
-    names = ["file", "row", "doc_id", "node", "block", "counts"]
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+    names = ["file", "row", "doc_id", "node", "sketch", "block", "counts"]
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            nodes = []
+            nodes, sketches = [], []
             for s in shingle_sets(batch.column("text"), size):
                 nodes.append(node_of(s))
+                sketches.append(np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) & SKETCH - 1, minlength=SKETCH), 255).astype(np.uint8).tobytes())
                 np.add.at(counts, s.astype(np.int64) & COUNTERS - 1, 1)
-            own = [batch.column("__file"), batch.column("__row"), batch.column("doc_id"), pa.array(nodes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(nodes), k) for k in kinds[4:])], names)
+            own = [batch.column("__file"), batch.column("__row"), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(nodes), k) for k in kinds[5:])], names)
         if counts.any():
             low = np.minimum(counts, 65535).astype(np.uint16).reshape(BLOCKS, each)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(BLOCKS, k) for k in kinds[:4]), pa.array(range(BLOCKS), pa.int32()), pa.array([r.tobytes() for r in low], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(BLOCKS, k) for k in kinds[:5]), pa.array(range(BLOCKS), pa.int32()), pa.array([r.tobytes() for r in low], pa.binary())], names)
 
-    out = docs.select("__file", "__row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file bigint, row bigint, doc_id bigint, node bigint, block int, counts binary")
+    out = docs.select("__file", "__row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file bigint, row bigint, doc_id bigint, node bigint, sketch binary, block int, counts binary")
     return written(out, "marked")
 
 
@@ -293,19 +295,28 @@ def candidates(docs: DataFrame, marks: DataFrame, size: int) -> DataFrame:
     return dealt.repartitionById(min(buckets, PARTITIONS), F.col("bucket")).groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, key bigint, n bigint, place bigint")
 
 
-def apart(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: the pairs of each run that may be similar and are in different components."""
+def apart(hot: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: the pairs of each run that may be similar and are in different components.
+
+    Whatever is outside a run's largest component is held against all of the run; only pairs go on whose sketches leave
+    room for the overlap: no more shingles can be shared than the sum of the lesser counts."""
     placed = hot.join(roots, hot["a"] == roots["node"], "left").select("key", "a", "n", "place", F.coalesce("root", "a").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    left = placed.join(mixed, "key", "left_semi")
+    left = placed.join(mixed, "key", "left_semi").join(nodes.select(F.col("node").alias("a"), "sketch"), "a")
 
     def cross(t: pa.Table) -> pa.Table:
         a, n, place, root = (t.column(c).to_numpy() for c in ("a", "n", "place", "root"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        names, which, often = np.unique(root, return_inverse=True, return_counts=True)
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, k in ring_pairs(n, place, len(n)):
-            other = root[i] != root[k]
-            out_a.append(a[i[other]])
-            out_b.append(a[k[other]])
+        for i in np.flatnonzero(which != often.argmax()).tolist():
+            k = np.flatnonzero((root != root[i]) & together(n[i], n, place[i], place))
+            most = np.minimum(sketch[k], sketch[i]).sum(axis=1)
+            # A count that did not fit has no bound.
+            most[(sketch[k] == 255).any(axis=1) | (sketch[i] == 255).any()] = 1 << 30
+            k = k[9 * most >= 4 * (n[i] + n[k])]
+            out_a.append(np.full(len(k), a[i]))
+            out_b.append(a[k])
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return left.groupBy("key").applyInArrow(cross, "a bigint, b bigint")
@@ -314,7 +325,9 @@ def apart(hot: DataFrame, roots: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """pairs: a, b. Those whose sets of shingles have a similarity of 0.8 or more, by the texts of the nodes' first rows."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("first.file").alias("__file"), F.col("first.row").alias("__row"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    # Written, so that Spark knows its size before it chooses how to join it.
+    wanted = written(wanted.select("node", F.col("first.file").alias("__file"), F.col("first.row").alias("__row")), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,13 +355,13 @@ def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     named = identified(docs)
     marks = marked(named, size)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "file", "row"))
-    nodes = written(marks.where("block is null").groupBy("node").agg(first.alias("first")), "nodes")
+    nodes = written(marks.where("block is null").groupBy("node").agg(first.alias("first"), F.any_value("sketch").alias("sketch")), "nodes")
     found = written(candidates(named, marks, size), "candidates")
     links = similar(found.where("b is not null").select("a", "b"), nodes, named, size)
     roots = components(links)
     hot = found.where("b is null").select("a", "key", "n", "place")
     if not hot.isEmpty():
-        roots = components(links.unionByName(similar(apart(hot, roots), nodes, named, size)))
+        roots = components(links.unionByName(similar(apart(hot, roots, nodes), nodes, named, size)))
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.file").alias("__file"), F.col("first.row").alias("__row"))
     return named.join(kept, ["__file", "__row"], "left_semi").select(*docs.columns)
 

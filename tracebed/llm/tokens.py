@@ -1,7 +1,9 @@
 """Token-ID output: sequences at places that a keyed permutation gives them, in shards of fixed stride.
 
-1. Texts are tokenised; their ids, each text followed by the end mark, make one stream in the order in which rows are
-   read, kept as compressed blocks. Each task sums the lengths of its blocks; the tasks' sums give every block its place.
+1. Texts are tokenised where they are read. Their ids, each text followed by the end mark, are dealt to buckets by a
+   hash of doc_id and text: buckets are ranges of the hash, sorted by it, and kept as compressed blocks. So the stream is
+   the texts in the order of their hashes, whatever files, splits, buckets and machines there were, and a rerun writes
+   the same shards. Each bucket sums the lengths of its blocks; the buckets' sums give every block its place.
 2. The stream is cut into sequences of equal length. A Feistel network over the next power of four, walked along its
    cycle until it is within range, assigns sequence i a slot of 0 .. N - 1: a permutation that needs no table and no
    sort, and whose inverse tells which sequence a slot holds.
@@ -11,8 +13,9 @@
    lost attempts have names of their own and are in no manifest.
 
 The tokenizer is a file; TRACEBED_TOKENIZER names another. Ids are two bytes, so it may have at most 65,535.
-Nulls: a null text is an empty document, an end mark alone. Only the last sequence may be short; it is padded.
-Repeated rows are written as often as they occur, which is how a mix repeats epochs. An empty table writes nothing.
+Nulls: a null text is an empty document, an end mark alone; a null doc_id is hashed as such. Only the last sequence may
+be short; it is padded. Repeated rows are written as often as they occur, which is how a mix repeats epochs; rows that
+are equal in doc_id and text are interchangeable. An empty table writes nothing.
 """
 
 from __future__ import annotations
@@ -27,27 +30,39 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, scratch, written
+from .common import drop, known, mix64, parts, scratch, written
 from .warc import opened
 
 TOKENIZER = os.environ.get("TRACEBED_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH = 2048
 PER_SHARD = 8192  # slots: 32 MB
+PARTITIONS = 8192  # of the shuffle that orders the stream
 PAD = 0xFFFF
 BLOCK = 1 << 20  # tokens
 FLUSH = 8 << 20  # tokens that a task gathers before it sends them to their shards
+BUCKET_BYTES = 16 << 20  # of the files read
 BLOCKS = "part int, within bigint, tokens bigint, docs bigint, payload binary"
 PIECES = "shard int, slots binary, starts binary, lengths binary, payload binary"
 MANIFEST = "shard int, path string, slots bigint, sha256 string"
 RESULT = "slot bigint, sequence bigint, shard int, byte_offset bigint, n_tokens bigint, tokens_sha256 string"
 
 
+ENCODINGS: dict[bytes, tiktoken.Encoding] = {}
+
+
 def encoding(data: bytes) -> tiktoken.Encoding:
+    """Built once a process, which runs many tasks."""
+    name = hashlib.sha256(data).digest()
+    if name not in ENCODINGS:
+        ENCODINGS[name] = built(data)
+    return ENCODINGS[name]
+
+
+def built(data: bytes) -> tiktoken.Encoding:
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x)}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -90,31 +105,45 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         raise ValueError(f"{tokenizer} has {end} ids; two bytes hold {PAD - 1} besides the padding")
     sent = docs.sparkSession.sparkContext.broadcast(data)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, within, held, size, n = TaskContext.get().partitionId(), 0, [], 0, 0
-        encode, squeeze = encoding(sent.value).encode_ordinary, zstandard.ZstdCompressor(level=3)
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoding(sent.value).encode_ordinary
+        for batch in batches:
+            found = []
+            for text in batch.column("text"):
+                found.append(np.array([*encode(text.as_py() or ""), end], np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], ["key", "ids"])
 
-        def pack() -> pa.RecordBatch:
-            payload = squeeze.compress(np.concatenate(held).tobytes())
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, within, held, size, n = -1, 0, [], 0, 0
+        squeeze = zstandard.ZstdCompressor(level=3)
+
+        def packed() -> pa.RecordBatch:
+            payload = squeeze.compress(b"".join(held))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "within": pa.array([within], pa.int64()), "tokens": pa.array([size], pa.int64()), "docs": pa.array([n], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
-            for text in batch.column("text"):
-                ids = encode(text.as_py() or "")
-                ids.append(end)
-                held.append(np.array(ids, np.uint16))
-                size, n = size + len(ids), n + 1
-                if size >= BLOCK:
-                    yield pack()
-                    within, held, size, n = within + size, [], 0, 0
+            for bucket, ids in zip(batch.column("bucket").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if bucket != part or size >= BLOCK:
+                    if held:
+                        yield packed()
+                    within = within + size if bucket == part else 0
+                    part, held, size, n = bucket, [], 0, 0
+                held.append(ids)
+                size, n = size + len(ids) // 2, n + 1
         if held:
-            yield pack()
+            yield packed()
 
-    return docs.select("text").mapInArrow(run, BLOCKS)
+    slim = known(docs.select("doc_id", "text"))
+    n = min(parts(slim, BUCKET_BYTES), PARTITIONS)  # a bucket is sorted with spills and streamed, so it may be large
+    # The hash without its sign; the bucket is its range of n.
+    key = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))
+    ids = slim.select(key.alias("key"), "text").mapInArrow(tokenise, "key bigint, ids binary")
+    dealt = ids.withColumn("bucket", F.expr(f"cast((key >> 32) * {n} >> 31 as int)")).repartitionById(n, F.col("bucket"))
+    return dealt.sortWithinPartitions("bucket", "key", "ids").select("bucket", "ids").mapInArrow(pack, BLOCKS)
 
 
 def ahead(blocks: DataFrame) -> dict[int, int]:
-    """For each task that tokenised, the tokens of those before it: as many numbers as the driver had tasks."""
+    """For each bucket the tokens of those before it: a number for each."""
     sizes, before, total = blocks.groupBy("part").agg(F.sum("tokens").alias("n")).orderBy("part").collect(), {}, 0
     for row in sizes:
         before[row.part] = total
@@ -197,7 +226,9 @@ def shards(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, ke
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "slots": pa.array([len(records)], pa.int64()), "sha256": [hashlib.sha256(data).hexdigest()]})
 
     pieces = blocks.select("part", "within", "payload").mapInArrow(deal, PIECES)
-    return written(pieces.repartitionById(count, F.col("shard")).mapInArrow(lay, MANIFEST), "manifest"), order
+    manifest = written(pieces.repartitionById(count, F.col("shard")).mapInArrow(lay, MANIFEST), "manifest")
+    drop(spark, blocks._table)
+    return manifest, order
 
 
 def records(path: str, length: int, start: int = 0) -> Iterator[np.ndarray]:
