@@ -184,3 +184,8 @@ def identified(docs: DataFrame) -> DataFrame:
         return names(docs)
     except AnalysisException:  # not a plain scan of files
         return names(written(docs, "input"))
+
+
+def masked(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs with other names for all columns but these, so that none clashes with what an operator adds."""
+    return docs.toDF(*[c if c in keep else f"__c{i}" for i, c in enumerate(docs.columns)])

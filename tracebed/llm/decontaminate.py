@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_texts, identified, input_bytes, utf8, windows, written
+from .common import hashed_texts, identified, input_bytes, masked, utf8, windows, written
 
 WINDOW, SHINGLE = 10, 3
 FEW_BITS, FILTER_BITS = 24, 27  # of the smallest and the largest filter, as powers of two: 2 and 16 MB
@@ -197,13 +197,14 @@ def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of any item."""
-    named = identified(docs)
-    index, sizes = prefixes(docs, bench)
+    own = masked(docs, "doc_id", "text")
+    named = identified(own)
+    index, sizes = prefixes(named, bench)
     found = candidates(named, index, sizes, ("__file", "__row")).where("size(places) > 0")
     found = written(found.select(F.struct("__file", "__row").alias("id"), F.explode("places").alias("p")), "places")
     # Written, so that Spark knows its size before it chooses how to join it.
     gone = written(verified(found, index, "id").select("id.*").distinct(), "gone")
-    return named.join(gone, ["__file", "__row"], "left_anti").select(*docs.columns)
+    return named.join(gone, ["__file", "__row"], "left_anti").select(*own.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

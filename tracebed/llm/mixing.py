@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, identified, parts
+from .common import WORD, identified, masked, parts
 
 RANGE_BYTES = 256 << 20
 
@@ -72,14 +72,15 @@ def materialise(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document once per whole epoch, and the part of it that the budget cuts as its first words.
 
     The mix is worked out without texts; what is taken of a row comes back to it by file and row number."""
-    columns, named = docs.columns, identified(docs)
+    own = masked(docs, "doc_id", "text", "source")
+    named = identified(own)
     taken = mix(named, carry=("__file", "__row"), **options).where("taken > 0").select("__file", "__row", F.col("taken").alias("__taken"), F.col("size").alias("__size"))
     out = named.join(taken, ["__file", "__row"])
     copies = F.sequence(F.lit(1), F.expr("cast(ceil(__taken / __size) as int)"))
     out = out.withColumn("__copy", F.explode(copies))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), (F.col("__taken") % F.col("__size")).cast("int")), " ")
     text = F.when(F.col("__copy") <= F.expr("__taken div __size"), F.col("text")).otherwise(cut)
-    return out.select(*[(text if c == "text" else F.col(c)).alias(c) for c in columns])
+    return out.select(*[(text if c == "text" else F.col(c)).alias(c) for c in own.columns]).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[Rule
     """Only the sampled rows are measured; their doc_ids, at most `sample`, are what the join broadcasts."""
     marked = labels.where("quality is not null and doc_id is not null").select("doc_id", (F.col("quality") == 0).cast("int").alias("poor"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "poor").limit(sample)
-    rows = measured(statistics(docs.join(F.broadcast(marked), "doc_id"), carry=("poor",)))
+    rows = measured(statistics(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id"), carry=("poor",)))
     return learn([tuple(r) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "poor").select(*MEASURES, "poor").limit(sample).collect()], list(MEASURES))
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_texts, identified, known, mix64, parts, utf8, windows, written
+from .common import hashed_texts, identified, known, masked, mix64, parts, utf8, windows, written
 from .components import components, thinned
 
 HOT = 1024
@@ -352,7 +352,8 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> D
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays."""
-    named = identified(docs)
+    own = masked(docs, "doc_id", "text")
+    named = identified(own)
     marks = marked(named, size)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "file", "row"))
     nodes = written(marks.where("block is null").groupBy("node").agg(first.alias("first"), F.any_value("sketch").alias("sketch")), "nodes")
@@ -363,7 +364,7 @@ def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     if not hot.isEmpty():
         roots = components(links.unionByName(similar(apart(hot, roots, nodes), nodes, named, size)))
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.file").alias("__file"), F.col("first.row").alias("__row"))
-    return named.join(kept, ["__file", "__row"], "left_semi").select(*docs.columns)
+    return named.join(kept, ["__file", "__row"], "left_semi").select(*own.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
