@@ -96,5 +96,14 @@ def test_nibbles(codes):
 
 
 def test_small_helpers():
-    assert log_id_key("a b", "f.c", 3) == "__a32b__f46c__3"
-    assert hex_dump(b"Hello\n").splitlines()[0] == "00000000  48 65 6c 6c 6f 0a                                 |Hello.|"
+    assert log_id_key("a b", "f_é.c", 3) == "__a32b__f95é46c__3__"
+    keys = [log_id_key("m", "f.c", n) for n in (2, 20)]
+    assert sorted(keys) == keys[::-1]  # digits come before the mark that ends a name
+    assert hex_dump(b"Hello\n") == "0000000000000000  48 65 6c 6c 6f 0a" + " " * 33 + "|Hello.|\n"
+    assert hex_dump(bytes(range(17))).splitlines()[1] == "0000000000000010  10" + " " * 48 + "|.|"
+    assert hex_dump(b"") == ""
+
+
+def test_lenient_parsing():
+    assert parse_format("%Ls", strict=False) is None and parse_format("%d", strict=False) == parse_format("%d")
+    assert [p.arg_type for p in parse_format("%Zd")] == ["size_t_t"]

@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import aggregate, render, select, timing
-from .schema import FILE_ORDER, TIME_ORDER
 from .sources.binlog import register
 
 USAGE = """Usage: COMMAND LOG [ARGUMENT]
   decompress LOG            messages in order of time
   decompressUnordered LOG   messages in order of the file
   rcdfTime LOG              reverse distribution of the times between messages
-  minMaxMean LOG ID         statistics of the first argument of a message
+  minMaxMean LOG ID [--int32]  statistics of the first argument of a message (its low 32 bits)
   find LOG TEXT             statements whose format contains the text
 """
 
@@ -31,7 +30,8 @@ def relations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
 
 def decompress(spark: SparkSession, path: str, write: Callable[[str], object], ordered: bool = True) -> None:
     e, d, x = relations(spark, path)
-    for line in render.text_lines(render.lines(e, d, x).orderBy(*(TIME_ORDER if ordered else FILE_ORDER))):
+    lines = render.lines(e, d, x, unknown="fail")
+    for line in render.text_lines(select.in_time_order(lines, bounded=True, source=e) if ordered else select.in_file_order(lines)):
         write(line)
 
 
@@ -41,12 +41,12 @@ def find(spark: SparkSession, path: str, needle: str, write: Callable[[str], obj
         write("%4d | %-20s | %-4d | %s\r\n" % (r.log_id, r.filename, r.line, r.fmt))
 
 
-def min_max_mean(spark: SparkSession, path: str, log_id: str, write: Callable[[str], object]) -> None:
+def min_max_mean(spark: SparkSession, path: str, log_id: str, write: Callable[[str], object], compat: bool = False) -> None:
     if not log_id.isdigit():
         raise ValueError(f"Invalid logId: {log_id}")
     e, d, _ = relations(spark, path)
     began = time.time()
-    r = aggregate.min_max_mean(e, int(log_id)).first()
+    r = aggregate.min_max_mean(e, int(log_id), compat=compat).first()
     fmt = d.where(F.col("log_id") == int(log_id)).select("fmt").first()
     write(f'Aggregating log message "{fmt.fmt if fmt else ""}" (logId={log_id})\r\n')
     write(f"Logs Encountered: {r.num_logs}\r\nMatching Logs: {r.matching} ({r.pct or 0:.2f}%)\r\nMin: {r['min']}\r\nMax: {r['max']}\r\nMean: {r['mean']}\r\nTotal: {r.total}\r\n")
@@ -87,7 +87,7 @@ def main(args: list[str], spark: SparkSession | None = None, write: Callable[[st
         if command == "find":
             find(spark, path, args[2], write)
         elif command == "minMaxMean":
-            min_max_mean(spark, path, args[2], write)
+            min_max_mean(spark, path, args[2], write, "--int32" in args[3:])
         elif command == "rcdfTime":
             rcdf(spark, path, write)
         else:

@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass
 from typing import Any
 
+# C's conversion syntax, and the names and widths of its types.
 SPEC = re.compile(r"%(?P<flags>[-+ #0]*)(?P<width>\d+|\*)?(?P<dot>\.(?P<prec>\d+|\*)?)?(?P<length>hh|h|ll|l|L|j|z|Z|t)?(?P<conv>[diuoxXfFeEgGaAcspn])")
 NONE = "NONE"
 SIGNED = {"hh": "signed_char_t", "h": "short_int_t", "": "int_t", "l": "long_int_t", "ll": "long_long_int_t", "j": "intmax_t_t", "z": "size_t_t", "Z": "size_t_t", "t": "ptrdiff_t_t"}
@@ -61,14 +62,18 @@ def specifiers(fmt: str) -> list[re.Match]:
     return out
 
 
-def parse_format(fmt: str) -> list[Fragment]:
-    """Pieces with one specifier each; text after the last belongs to it, a text without any is one piece."""
+def parse_format(fmt: str, strict: bool = True) -> list[Fragment] | None:
+    """Pieces with one specifier each; text after the last belongs to it, a text without any is one piece.
+
+    A specifier without a type is an error; where not strict, as logs are read, it gives no pieces at all."""
     found = specifiers(fmt)
     if not found:
         return [Fragment(NONE, False, False, fmt)]
     out, begin = [], 0
     for k, m in enumerate(found):
         kind = arg_type(m["length"], m["conv"])
+        if kind is None and not strict:
+            return None
         if kind is None:
             raise FormatError(f"{m[0]!r} in {fmt!r} has no type")
         end = len(fmt) if k == len(found) - 1 else m.end()
@@ -222,15 +227,17 @@ class Renderer:
 
 
 def log_id_key(fmt: str, filename: str, line: int) -> str:
-    """A name made of letters, digits and ordinals; its order is the canonical order of messages."""
-    return f"__{''.join(c if c.isascii() and c.isalnum() else str(ord(c)) for c in fmt)}__{''.join(c if c.isascii() and c.isalnum() else str(ord(c)) for c in filename)}__{line}"
+    """A name made of letters, digits and ordinals, in any alphabet; its order is the canonical order of messages."""
+    parts = [re.sub(r"\W|_", lambda c: str(ord(c[0])), text) for text in (fmt, filename)]
+    return "__".join(["", *parts, str(line), ""])
 
 
 def hex_dump(data: bytes) -> str:
-    """As `hexdump -C` prints it."""
+    """Offsets of 16 digits, two groups of eight bytes, and the printable ones; a line for each 16 bytes."""
     out = []
     for i in range(0, len(data), 16):
         row = data[i : i + 16]
         pairs = [f"{b:02x}" for b in row] + ["  "] * (16 - len(row))
-        out.append(f"{i:08x}  {' '.join(pairs[:8])}  {' '.join(pairs[8:])}  |{''.join(chr(b) if 32 <= b < 127 else '.' for b in row)}|")
-    return "\n".join([*out, f"{len(data):08x}"]) + "\n"
+        shown = "".join(chr(b) if 32 <= b < 127 else "." for b in row)
+        out.append(f"{i:016x}  {' '.join(pairs[:8])}  {' '.join(pairs[8:])}  |{shown}|\n")
+    return "".join(out)

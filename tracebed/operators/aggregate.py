@@ -8,7 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import FILE_ORDER
+from ..schema import FILE_ORDER, KEY
+from .render import with_dictionary
+
+
+def argument(i: int, kind: str) -> Column:
+    """Argument i of a message, from 0, as a kind of values: i, u, d, s or b; null if there is none of it."""
+    return F.get("args", F.lit(i))[kind]
+
+
+def num_args() -> Column:
+    return F.size("args")
 
 
 def first_integer(compat: bool = False) -> Column:
@@ -34,13 +44,21 @@ def totals(matching: Column, value: Column) -> list[Column]:
     ]
 
 
-def min_max_mean(events: DataFrame, log_id: int, value: Column | None = None) -> DataFrame:
-    """One row over all executions; the mean is a whole number, cut towards zero, and null without a match."""
-    value = first_integer() if value is None else value
+def min_max_mean(events: DataFrame, log_id: int, value: Column | None = None, compat: bool = False) -> DataFrame:
+    """One row over all executions; the mean is a whole number, cut towards zero, and null without a match. compat: only
+    the low 32 bits of an argument count, as a signed number."""
+    value = first_integer(compat) if value is None else value
     df = events.agg(*totals(F.col("log_id") == log_id, value.cast("long")))
     return df.select("*", F.expr("total div nullif(matching, 0)").alias("mean"), (100.0 * F.col("matching") / F.expr("nullif(num_logs, 0)")).alias("pct"))
 
 
+def min_max_mean_by_statement(events: DataFrame, dictionary: DataFrame, log_id: int, compat: bool = False) -> DataFrame:
+    """The same for each statement that executions give the id to: ids begin anew with every checkpoint."""
+    own = dictionary.where(F.col("log_id") == log_id).select(*KEY, "filename", "line", "fmt")
+    df = with_dictionary(events.where(F.col("log_id") == log_id), own).groupBy("filename", "line", "fmt").agg(*totals(F.lit(True), first_integer(compat).cast("long")))
+    return df.select("filename", "line", "fmt", "matching", "min", "max", "total", F.expr("total div nullif(matching, 0)").alias("mean"))
+
+
 def count_by_id(events: DataFrame) -> DataFrame:
     return events.groupBy("log_id").agg(F.count("*").alias("n"))
 
@@ -91,5 +109,53 @@ def histogram(df: DataFrame, bin_: Column, bins: int = 20) -> DataFrame:
     return every.join(own, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def by_thread(events: DataFrame, size: Column) -> DataFrame:
-    return events.groupBy("thread_id").agg(F.count("*").alias("messages"), F.sum(size).cast("long").alias("bytes"))
+def size_histogram(extents: DataFrame, capacity: int = 1 << 20, bins: int = 20) -> DataFrame:
+    """How full buffers of `capacity` bytes were when they were drained."""
+    return histogram(extents, F.floor(bins * F.col("bytes") / capacity), bins)
+
+
+def wait_histogram(waits: DataFrame, width: float = 10, bins: int = 20) -> DataFrame:
+    """Waits (a column of nanoseconds) by bins of `width`; the last has all longer ones."""
+    return histogram(waits, F.floor(F.col("wait") / width), bins)
+
+
+def by_thread(events: DataFrame, size: Column, wait: Column | None = None) -> DataFrame:
+    """Messages and bytes of each thread; with its waits how often it was blocked, and for how long."""
+    more = [] if wait is None else [F.count_if(wait > 0).alias("blocked"), F.sum(wait).cast("long").alias("blocked_ns")]
+    return events.groupBy("thread_id").agg(F.count("*").alias("messages"), F.sum(size).cast("long").alias("bytes"), *more)
+
+
+#: Bytes of a message before it is packed: its head, and numbers as wide as their types (fixed by the file format).
+HEAD_BYTES, WIDTHS = 16, {"signed_char_t": 1, "unsigned_char_t": 1, "short_int_t": 2, "unsigned_short_int_t": 2, "int_t": 4, "unsigned_int_t": 4, "wint_t_t": 4, "long_double_t": 16}
+
+
+def entry_bytes() -> Column:
+    """The size of a message as it was recorded."""
+    table = F.create_map(*[F.lit(x) for pair in WIDTHS.items() for x in pair])
+    text = lambda a: F.coalesce(F.octet_length(a["b"]), F.octet_length(a["s"]))
+    wide = lambda a: F.length(a["s"]) * F.when(a["type"] == "const_wchar_t_ptr_t", 4)
+    dynamic = lambda a: F.when(a["width"].isNotNull(), 4).otherwise(0) + F.when(a["prec"].isNotNull(), 4).otherwise(0)
+    one = lambda a: dynamic(a) + F.coalesce(wide(a) + 4, text(a) + 4, F.element_at(table, a["type"]), F.lit(8))
+    return HEAD_BYTES + F.aggregate("args", F.lit(0), lambda n, a: n + one(a))
+
+
+def statistics(events: DataFrame, extents: DataFrame, seconds: float | None = None, page: int = 512) -> DataFrame:
+    """One row: events, bytes recorded and written, padding to whole pages, the range of compression without and with it,
+    bytes for each event; and, where the seconds are known, rates."""
+    read = events.agg(F.count("*").alias("events"), F.coalesce(F.sum(entry_bytes()), F.lit(0)).cast("long").alias("bytes_in"))
+    files = extents.groupBy("file").agg(F.sum("bytes").alias("bytes"))
+    wrote = files.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes_out"), F.coalesce(F.sum(F.pmod(-F.col("bytes"), F.lit(page))), F.lit(0)).cast("long").alias("pad_bytes"))
+    share = lambda a, b: F.try_divide(a.cast("double"), b)
+    out = read.crossJoin(wrote).select(  # of one row each
+        "events",
+        "bytes_in",
+        "bytes_out",
+        "pad_bytes",
+        share(F.col("bytes_in"), F.col("bytes_out") + F.col("pad_bytes")).alias("ratio_padded"),
+        share(F.col("bytes_in"), F.col("bytes_out")).alias("ratio"),
+        share(F.col("bytes_out"), F.col("events")).alias("bytes_per_event"),
+    )
+    if seconds is None:
+        return out
+    s = F.lit(float(seconds))
+    return out.withColumns({"mb_per_second": share(F.col("bytes_out") / 1e6, s), "ns_per_byte": share(s * 1e9, F.col("bytes_out")), "ns_per_event": share(s * 1e9, F.col("events"))})

@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clock import rendered_time, wall_clock
 from ..functions.fmt import Renderer
-from ..schema import KEY, LEVELS
+from ..schema import KEY, LEVELS, TIME_ORDER
+
+# Fixed values of the text output.
+END, MARKER = "\r\n", "\r\n# New execution started\r\n"
+FOOTER = "\r\n\r\n# Decompression Complete after printing {} log messages\r\n"
 
 DICTIONARY_LIMIT = 64 << 20  # bytes of dictionary that are broadcast; a larger one is joined by shuffle
 PLAIN = r"%(?:[du]|l[du]|ll[du]|hh?[du]|[jzt][du]|s|i|l?i)"
@@ -45,16 +49,24 @@ def plain(dictionary: DataFrame) -> DataFrame:
     return dictionary.withColumn("plain", ~F.contains(bare, F.lit("%")) & ~F.contains(F.col("fmt"), F.lit("\\")) & ~F.contains(F.col("fmt"), F.lit("%%"))).withColumn("texts", F.split("fmt", PLAIN, -1))
 
 
-def message(events: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Adds `message`. Bare formats are put together by built-in functions; others go, in Arrow batches, through C's rules."""
-    d = plain(dictionary.where("valid"))
+def message(events: DataFrame, dictionary: DataFrame, unknown: str = "null") -> DataFrame:
+    """Adds `message`. Bare formats are put together by built-in functions; others go, in Arrow batches, through C's rules.
+
+    Messages whose statement is not in the dictionary, or has a format that is none, keep their row; unknown: "null" (the
+    message is null) or "fail"."""
+    if unknown not in ("null", "fail"):
+        raise ValueError(f"unknown is null or fail, not {unknown}")
+    d = plain(dictionary)
     shown = lambda a: F.coalesce(a["s"], a["i"].cast("string"), a["u"].cast("string"), F.lit(""))
-    both = with_dictionary(events, d)
+    both = with_dictionary(events, d, "left")
+    if unknown == "fail":
+        both = both.withColumn("plain", F.when(F.col("valid"), F.col("plain")).otherwise(F.raise_error(F.concat(F.lit("No statement for message "), F.col("log_id").cast("string")))))
     native = F.concat(F.element_at("texts", 1), F.array_join(F.zip_with("args", F.slice("texts", F.lit(2), F.greatest(F.size("texts") - 1, F.lit(0))), lambda a, t: F.concat(shown(a), t)), ""))
-    easy = both.where("plain").withColumn("message", native).drop("texts", "plain")
-    if d.where("not plain").isEmpty():  # the dictionary is looked at, never the events
+    bare = F.coalesce("plain", F.lit(True)) | ~F.coalesce("valid", F.lit(False))
+    easy = both.where(bare).withColumn("message", F.when(F.col("valid"), native)).drop("texts", "plain")
+    if d.where("valid and not plain").isEmpty():  # the dictionary is looked at, never the events
         return easy
-    hard = both.where("not plain").drop("texts", "plain")
+    hard = both.where(~bare).drop("texts", "plain")
     schema = T.StructType([*hard.schema.fields, T.StructField("message", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +82,9 @@ def message(events: DataFrame, dictionary: DataFrame) -> DataFrame:
     return easy.unionByName(hard.mapInArrow(run, schema))
 
 
-def lines(events: DataFrame, dictionary: DataFrame, executions: DataFrame) -> DataFrame:
-    """Adds `line_text`: time, place, level and thread before the message."""
-    df = with_clock(message(events, dictionary), executions)
+def lines(events: DataFrame, dictionary: DataFrame, executions: DataFrame, unknown: str = "null") -> DataFrame:
+    """Adds `line_text`: time, place, level and thread before the message; null as the message is."""
+    df = with_clock(message(events, dictionary, unknown), executions)
     prefix = F.format_string(" %s:%d %s[%d]: ", "filename", "line", level_name(F.col("severity")), "thread_id")
     return df.withColumn("line_text", F.concat(rendered_time(F.col("epoch_seconds"), F.col("nanos")), prefix, F.col("message")))
 
@@ -83,9 +95,31 @@ def text_lines(ordered: DataFrame) -> Iterator[str]:
     for row in ordered.select("file", "execution_id", "line_text").toLocalIterator():
         here = (row.file, row.execution_id)
         if seen is not None and here != seen:
-            yield "\r\n# New execution started\r\n"
+            yield MARKER
         seen, n = here, n + 1
-        yield f"{row.line_text}\r\n"
-    yield f"\r\n\r\n# Decompression Complete after printing {n} log messages\r\n"
-
-
+        yield f"{row.line_text}{END}"
+    yield FOOTER.format(n)
+
+
+def write_text(ordered: DataFrame, path: str) -> int:
+    """The same as text files, written by executors in their order: a file for each partition, part numbers telling the
+    order, and the footer as a file of its own behind them. Returns the number of messages.
+
+    The marker of an execution stands before its first line, which the rows' own keys tell, not a neighbour's."""
+    spark, order = ordered.sparkSession, F.struct(*[F.col(c) for c in TIME_ORDER if c in ordered.columns])
+    firsts = ordered.groupBy("file", "execution_id").agg(F.min(order).alias("__first"))
+    begin = firsts.agg(F.min(F.struct("file", "execution_id")).alias("b")).first()
+    if begin is None or begin.b is None:
+        footer(spark, path, 0)
+        return 0
+    marked = ordered.join(small(firsts), ["file", "execution_id"])
+    new = (order == F.col("__first")) & ~((F.col("file") == begin.b.file) & (F.col("execution_id") == begin.b.execution_id))
+    line = F.concat(F.when(new, MARKER).otherwise(""), F.coalesce("line_text", F.lit("None")), F.lit(END[:-1]))  # the writer ends lines
+    marked.orderBy(*[c for c in TIME_ORDER if c in ordered.columns]).select(line.alias("value")).write.text(f"{path}/lines", lineSep=END[-1])
+    n = ordered.count()
+    footer(spark, path, n)
+    return n
+
+
+def footer(spark: SparkSession, path: str, n: int) -> None:
+    spark.createDataFrame([(FOOTER.format(n)[:-1],)], "value string").coalesce(1).write.text(f"{path}/footer", lineSep=END[-1])

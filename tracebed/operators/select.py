@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from heapq import heapify, heappop, heapreplace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fmt import log_id_key, signature
 from ..schema import DEBUG, FILE_ORDER, KEY, NOTICE, TIME_ORDER
-from .render import with_dictionary
+from .render import small, with_dictionary
 
+BUFFERED = 3  # stages that a merge holds
 
-def by_severity(events: DataFrame, dictionary: DataFrame, level: int = NOTICE) -> DataFrame:
-    """Messages at least as severe as level, which is clamped to the known ones; level 0 keeps none."""
+
+def by_severity(events: DataFrame, dictionary: DataFrame, level: int | None = None) -> DataFrame:
+    """Messages at least as severe as level, which is clamped to the known ones; level 0 keeps none. Without one the
+    session's level holds (engine.set_log_level)."""
+    if level is None:
+        level = int(events.sparkSession.conf.get("spark.tracebed.level", str(NOTICE)))
     keep = dictionary.where(F.col("severity") <= max(0, min(DEBUG, level))).where("severity > 0")
     return with_dictionary(events, keep.select(*KEY, "severity"))
 
@@ -60,36 +68,108 @@ def in_file_order(events: DataFrame) -> DataFrame:
     return events.orderBy(*FILE_ORDER)
 
 
-def in_time_order(events: DataFrame, bounded: bool = False) -> DataFrame:
-    """By time within executions. bounded: as a merge of three buffered stages gives it, which differs where messages
-    are more than two stages late; an execution is then merged by one task, as its state demands."""
-    if not bounded:
+def in_time_order(events: DataFrame, bounded: bool = False, source: DataFrame | None = None) -> DataFrame:
+    """By time within executions. bounded: as a merge of three buffered stages gives it, which differs only for executions
+    with a message that is more than two stages late, or earlier than the one before it in its extent; these are looked for
+    first, in source if events are costly to make."""
+    if not bounded or (uneven := out_of_order(events if source is None else source)).isEmpty():
         return events.orderBy(*TIME_ORDER)
-    schema = events.withColumn("position", F.lit(0).cast("long")).schema
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = merge_stages(list(zip(pdf["stage_id"], pdf["extent_id"], pdf["seq"], pdf["rdtsc"], strict=True)))
-        out = pdf.iloc[order].copy()
-        out["position"] = range(len(out))
-        return out
-
-    return events.groupBy("file", "execution_id").applyInPandas(merge, schema).orderBy("file", "execution_id", "position").drop("position")
+    near = [c for c in TIME_ORDER if c not in KEY[:2]]
+    even = events.join(small(uneven), list(KEY[:2]), "left_anti").withColumn("__at", F.lit(0).cast("long"))
+    merged = merged_stages(events.join(small(uneven), list(KEY[:2]), "left_semi"))
+    return even.unionByName(merged).orderBy(*KEY[:2], "__at", *near).drop("__at")
+
+
+def out_of_order(events: DataFrame) -> DataFrame:
+    """The executions that a merge of three stages does not bring into the order of time. Stages are first summed up each,
+    so what a window sorts is a row for each stage and not for each message."""
+    extent = Window.partitionBy(*KEY[:2], "extent_id").orderBy("seq")
+    back = F.coalesce(F.col("rdtsc") < F.lag("rdtsc").over(extent), F.lit(False))
+    stages = events.select(*KEY[:2], "stage_id", "rdtsc", back.alias("back")).groupBy(*KEY[:2], "stage_id").agg(F.min("rdtsc").alias("low"), F.max("rdtsc").alias("high"), F.max("back").alias("back"))
+    before = Window.partitionBy(*KEY[:2]).orderBy("stage_id").rowsBetween(Window.unboundedPreceding, -BUFFERED)
+    return stages.withColumn("sent", F.max("high").over(before)).where((F.col("low") < F.col("sent")) | F.col("back")).select(*KEY[:2]).distinct()
+
+
+class Merge:
+    """A merge of at most three stages that are held at once. Each has its extents in a heap, by the time of their next
+    message; of equal times the lower stage comes first, and in it the lower extent."""
+
+    def __init__(self) -> None:
+        self.held: list[list[tuple]] = []
+
+    def add(self, extents: dict[int, list[tuple]]) -> Iterator[object]:
+        """A stage: extents of (time, what) in their order. Gives what goes out before another stage can be taken."""
+        heap = [(rows[0][0], name, 0, rows) for name, rows in extents.items() if rows]
+        heapify(heap)
+        self.held.append(heap)
+        if len(self.held) == BUFFERED:
+            yield from self.drain(once=True)
+
+    def drain(self, once: bool = False) -> Iterator[object]:
+        while any(self.held):
+            _, k = min((heap[0][0], k) for k, heap in enumerate(self.held) if heap)
+            heap = self.held[k]
+            _, name, at, rows = heap[0]
+            yield rows[at][1]
+            if at + 1 < len(rows):
+                heapreplace(heap, (rows[at + 1][0], name, at + 1, rows))
+            else:
+                heappop(heap)
+            if not self.held[0]:
+                self.held.pop(0)
+                if once:
+                    return
+        self.held.clear()
 
 
 def merge_stages(rows: list[tuple[int, int, int, int]]) -> list[int]:
-    """Indexes of (stage, extent, seq, time) in the order of a merge that buffers three stages."""
-    stages: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+    """Indexes of (stage, extent, seq, time) in the order of the merge."""
+    out, merge, stages = [], Merge(), defaultdict(lambda: defaultdict(list))
     for i in sorted(range(len(rows)), key=lambda i: rows[i][:3]):
-        stages[rows[i][0]][rows[i][1]].append(i)
-    waiting = [[list(e) for e in stages[s].values()] for s in sorted(stages)]
-    held: list[list[list[int]]] = [waiting.pop(0) if waiting else [] for _ in range(3)]
-    out = []
-    while any(held) or waiting:
-        heads = [(rows[e[0]][3], k, rows[e[0]][:3], e) for k, stage in enumerate(held) for e in stage if e]
-        if heads:
-            _, k, _, extent = min(heads, key=lambda h: h[:3])
-            out.append(extent.pop(0))
-            held[k] = [e for e in held[k] if e]
-        if not held[0]:
-            held = [*held[1:], waiting.pop(0) if waiting else []]
-    return out
+        stages[rows[i][0]][rows[i][1]].append((rows[i][3], i))
+    for stage in sorted(stages):
+        out += merge.add(stages[stage])
+    return [*out, *merge.drain()]
+
+
+def merged_stages(events: DataFrame) -> DataFrame:
+    """events with __at, their place in the merge of their execution. Executions are streamed, stage after stage, so a task
+    holds three stages of one execution; the merge itself is sequential, as each stage waits for the third before it."""
+    schema = T.StructType([*events.schema.fields, T.StructField("__at", T.LongType())])
+    names = events.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge, here, stage, extents, at, out = Merge(), None, None, defaultdict(list), 0, []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            wide = pa.Table.from_batches([r for r, _, _ in rows]) if rows else None
+            return wide.append_column("__at", pa.array([p for _, _, p in rows], pa.int64())).combine_chunks().to_batches()[0]
+
+        def take(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            nonlocal at, out
+            for row in found:
+                out.append((row[0], row[1], at))
+                at += 1
+                if len(out) == 4096:
+                    yield batch_of(out)
+                    out = []
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*KEY[:2], "stage_id", "extent_id", "rdtsc")]
+            for i, (file, execution, own, extent, time) in enumerate(zip(*columns, strict=True)):
+                if ((file, execution), own) != (here, stage):
+                    if extents:
+                        yield from take(merge.add(extents))
+                        extents = defaultdict(list)
+                    if (file, execution) != here:
+                        yield from take(merge.drain())
+                        at = 0
+                    here, stage = (file, execution), own
+                extents[extent].append((time, (batch.slice(i, 1), i)))
+        if extents:
+            yield from take(merge.add(extents))
+        yield from take(merge.drain())
+        if out:
+            yield batch_of(out)
+
+    return events.repartition(*KEY[:2]).sortWithinPartitions(*FILE_ORDER[:2], "stage_id", "extent_id", "seq").select(*names).mapInArrow(run, schema)

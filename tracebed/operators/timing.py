@@ -12,9 +12,17 @@ RING = 8192
 
 
 def deltas(events: DataFrame, within: tuple[str, ...] = ("file", "execution_id", "thread_id")) -> DataFrame:
-    """Cycles since the message before in file order, in each thread of an execution (within=("file",): in the file)."""
-    order = Window.partitionBy(*within).orderBy(*[c for c in FILE_ORDER if c not in within])
-    return events.withColumn("delta", F.col("rdtsc") - F.lag("rdtsc").over(order)).where("delta is not null")
+    """Cycles since the message before in file order, in each thread of an execution (within=("file",): in the file).
+
+    An extent, of one thread and a megabyte at most, is what a task sorts; the first message of each takes the last of the
+    extent before, which is found among a row for each extent."""
+    extent = list(FILE_ORDER[:3])
+    last = events.groupBy(*dict.fromkeys([*extent, *within])).agg(F.max_by("rdtsc", "seq").alias("__last"))
+    order = Window.partitionBy(*within).orderBy(*[c for c in extent if c not in within])
+    before = last.select(*extent, F.lag("__last").over(order).alias("__before"))
+    inside = Window.partitionBy(*extent).orderBy("seq")
+    both = events.withColumn("__own", F.lag("rdtsc").over(inside)).join(before, extent)
+    return both.withColumn("delta", F.col("rdtsc") - F.coalesce("__own", "__before")).where("delta is not null").drop("__own", "__before")
 
 
 def rcdf(d: DataFrame, cps: float = 1e9) -> DataFrame:

@@ -79,12 +79,12 @@ def wall_clock(spark, sf_dir):
     return render.with_clock(e, x).select("seq", "epoch_seconds", "nanos", F.format_string("%09d", "nanos").alias("digits"))
 
 
-@query("wall_clock_before_checkpoint", "SELECT seq, 1704067200 + floor((rdtsc - 2000000000000000000) / 1000000000.0)::BIGINT AS epoch_seconds FROM e WHERE rdtsc % 1000000000 > 1000000 AND rdtsc % 1000000000 < 999000000")
+@query("wall_clock_before_checkpoint", "SELECT seq, 1704067200 + (rdtsc - 4000000000000000) // 1000000000 - CASE WHEN (rdtsc - 4000000000000000) % 1000000000 < 0 AND (rdtsc - 4000000000000000) // 1000000000 * 1000000000 > rdtsc - 4000000000000000 THEN 1 ELSE 0 END AS epoch_seconds, ((rdtsc - 4000000000000000) % 1000000000 + 1000000000) % 1000000000 AS nanos FROM e")
 def wall_clock_before_checkpoint(spark, sf_dir):
-    """Events before their checkpoint; those within a millisecond of a second are left to the clock's own tests."""
+    """All events before a checkpoint that is near enough for doubles to hold the microseconds of what lies between."""
     e, _, x = log(spark, sf_dir)
-    late = x.withColumn("ckpt_rdtsc", F.lit(2_000_000_000_000_000_000).cast("long"))
-    return render.with_clock(e.where("rdtsc % 1000000000 > 1000000 and rdtsc % 1000000000 < 999000000"), late).select("seq", "epoch_seconds")
+    late = x.withColumn("ckpt_rdtsc", F.lit(4_000_000_000_000_000).cast("long"))
+    return render.with_clock(e, late).select("seq", "epoch_seconds", "nanos")
 
 
 @query(
@@ -133,8 +133,8 @@ for _name, _needle in (("find_substring", "user"), ("find_empty", ""), ("find_ca
 
 @query(
     "find_numbering",
-    """SELECT filename, line, fmt, row_number() OVER (ORDER BY '__' || array_to_string([CASE WHEN regexp_matches(c, '[A-Za-z0-9]') THEN c ELSE CAST(unicode(c) AS VARCHAR) END FOR c IN string_split(fmt, '')], '')
-    || '__' || array_to_string([CASE WHEN regexp_matches(c, '[A-Za-z0-9]') THEN c ELSE CAST(unicode(c) AS VARCHAR) END FOR c IN string_split(filename, '')], '') || '__' || line) - 1 AS canonical_id FROM d""",
+    r"""SELECT filename, line, fmt, row_number() OVER (ORDER BY '__' || array_to_string([CASE WHEN regexp_matches(c, '[\p{L}\p{N}]') THEN c ELSE CAST(unicode(c) AS VARCHAR) END FOR c IN string_split(fmt, '')], '')
+    || '__' || array_to_string([CASE WHEN regexp_matches(c, '[\p{L}\p{N}]') THEN c ELSE CAST(unicode(c) AS VARCHAR) END FOR c IN string_split(filename, '')], '') || '__' || line || '__') - 1 AS canonical_id FROM d""",
 )
 def find_numbering(spark, sf_dir):
     _, d, _ = log(spark, sf_dir)
@@ -260,20 +260,111 @@ def read_counters(spark, sf_dir):
     return agg.counters(logview.events(spark, sf_dir))
 
 
-@query("size_histogram", "WITH b AS (SELECT CAST(least(20 * (10000 * length(event_type)) // 1048576, 19) AS INTEGER) AS bin FROM events) SELECT CAST(r AS INTEGER) AS bin, count(b.bin) AS n FROM range(20) AS t(r) LEFT JOIN b ON b.bin = r GROUP BY r")
+#: Bytes of a message before it is packed, in SQL: head, an int, and what its kind adds.
+_ENTRY = "(16 + 4 + CASE log_id WHEN 2 THEN 8 + 4 + length(event_type) WHEN 4 THEN 0 ELSE 8 END)"
+_BINS = "SELECT CAST(r AS INTEGER) AS bin, count(b.bin) AS n FROM range(20) AS t(r) LEFT JOIN b ON b.bin = r GROUP BY r"
+
+
+@query("size_histogram", SQL.rstrip() + f", x AS (SELECT sum({_ENTRY}) AS bytes FROM e GROUP BY execution_id, extent_id), b AS (SELECT CAST(least(20 * bytes // 4096, 19) AS INTEGER) AS bin FROM x) {_BINS}")
 def size_histogram(spark, sf_dir):
-    e = logview.events(spark, sf_dir)
-    return agg.histogram(e, F.floor(20 * (10000 * F.length("event_type")) / 1048576))
+    """Bytes recorded of each extent, as shares of a buffer of 4 KB."""
+    return agg.size_histogram(agg.extents(logview.events(spark, sf_dir), agg.entry_bytes()), 4096)
 
 
-@query("overflow_histogram", "WITH b AS (SELECT least(CAST(json_extract_string(props, '$.k') AS INTEGER) // 4, 19) AS bin FROM events) SELECT CAST(r AS INTEGER) AS bin, count(b.bin) AS n FROM range(20) AS t(r) LEFT JOIN b ON b.bin = r GROUP BY r")
+@query("overflow_histogram", SQL.rstrip() + f", x AS (SELECT rdtsc - lag(rdtsc) OVER (PARTITION BY execution_id, thread_id ORDER BY extent_id, seq) AS wait FROM e), b AS (SELECT CAST(greatest(0, least(floor(wait / 1e9), 19)) AS INTEGER) AS bin FROM x WHERE wait >= 0) {_BINS}")
 def overflow_histogram(spark, sf_dir):
-    return agg.histogram(logview.events(spark, sf_dir), F.floor(F.col("arg0") / 4))
+    """Times between the messages of a thread, in seconds; the last bin has all longer ones."""
+    d = timing.deltas(logview.events(spark, sf_dir)).where("delta >= 0")
+    return agg.wait_histogram(d.withColumn("wait", F.col("delta")), 1e9)
 
 
-@query("thread_counters", "SELECT thread_id, count(*) AS messages, CAST(sum(length(event_type)) AS BIGINT) AS bytes FROM e GROUP BY thread_id")
+@query("thread_counters", SQL.rstrip() + f", x AS (SELECT *, coalesce(rdtsc - lag(rdtsc) OVER (PARTITION BY execution_id, thread_id ORDER BY extent_id, seq), 0) AS wait FROM e) SELECT thread_id, count(*) AS messages, CAST(sum({_ENTRY}) AS BIGINT) AS bytes, count(*) FILTER (wait > 0) AS blocked, CAST(sum(wait) AS BIGINT) AS blocked_ns FROM x GROUP BY thread_id")
 def thread_counters(spark, sf_dir):
-    return agg.by_thread(logview.events(spark, sf_dir), F.length("event_type"))
+    from pyspark.sql import Window
+
+    e = logview.events(spark, sf_dir)
+    order = Window.partitionBy("file", "execution_id", "thread_id").orderBy("extent_id", "seq")
+    waited = e.withColumn("wait", F.coalesce(F.col("rdtsc") - F.lag("rdtsc").over(order), F.lit(0)))
+    return agg.by_thread(waited, agg.entry_bytes(), F.col("wait"))
+
+
+@query("log_statistics", SQL.rstrip() + f", x AS (SELECT CAST(sum({_ENTRY}) AS BIGINT) AS bytes_in, count(*) AS events, CAST(count(*) * 10 AS BIGINT) AS bytes_out FROM e), y AS (SELECT *, (512 - bytes_out % 512) % 512 AS pad_bytes FROM x) SELECT events, bytes_in, bytes_out, pad_bytes, CAST(bytes_in AS DOUBLE) / (bytes_out + pad_bytes) AS ratio_padded, CAST(bytes_in AS DOUBLE) / bytes_out AS ratio, CAST(bytes_out AS DOUBLE) / events AS bytes_per_event, bytes_out / 1e6 / 2.0 AS mb_per_second, 2e9 / bytes_out AS ns_per_byte, 2e9 / events AS ns_per_event FROM y")
+def log_statistics(spark, sf_dir):
+    """Figures of a log written in two seconds, at ten bytes a message."""
+    e = logview.events(spark, sf_dir)
+    return agg.statistics(e, agg.extents(e, F.lit(10)), 2.0)
+
+
+@query("min_max_mean_by_statement", "SELECT filename, line, fmt, count(*) AS matching, CAST(min(arg0) AS BIGINT) AS min, CAST(max(arg0) AS BIGINT) AS max, CAST(sum(arg0) AS BIGINT) AS total, CAST(sum(arg0) AS BIGINT) // count(*) AS mean FROM m WHERE log_id = 3 GROUP BY filename, line, fmt")
+def min_max_mean_by_statement(spark, sf_dir):
+    e, d, _ = log(spark, sf_dir)
+    return agg.min_max_mean_by_statement(e, d, 3)
+
+
+@query("min_max_mean_compat", _MMM.format(p="log_id = 2", v="arg0"))
+def min_max_mean_compat(spark, sf_dir):
+    """Low 32 bits: the same as typed values here, where arguments are ints."""
+    return agg.min_max_mean(logview.events(spark, sf_dir), 2, compat=True)
+
+
+@query("log_level_session", "SELECT severity, count(*) AS n FROM m WHERE severity <= 2 GROUP BY severity")
+def log_level_session(spark, sf_dir):
+    """The level is a setting of the session."""
+    from .. import engine
+
+    before = engine.get_log_level(spark)
+    engine.set_log_level(spark, WARNING)
+    try:
+        e, d, _ = log(spark, sf_dir)
+        return select.by_severity(e, d).groupBy("severity").agg(F.count("*").alias("n"))
+    finally:
+        engine.set_log_level(spark, before)
+
+
+@query("argument_accessors", "SELECT seq, CAST(arg0 AS BIGINT) AS first, CASE WHEN log_id = 4 THEN NULL ELSE user_id END AS second, CASE WHEN log_id = 2 THEN event_type END AS third, CASE log_id WHEN 2 THEN 3 WHEN 4 THEN 1 ELSE 2 END AS n FROM e")
+def argument_accessors(spark, sf_dir):
+    return logview.events(spark, sf_dir).select("seq", agg.argument(0, "i").alias("first"), agg.argument(1, "u").cast("long").alias("second"), agg.argument(2, "s").alias("third"), agg.num_args().alias("n"))
+
+
+_NOTE = "Took %*d | %-8.3s | %08.2lf | %+ld | %#x | %e"
+
+
+@query(
+    "render_formats",
+    SQL.rstrip() + """, n AS (SELECT seq, arg0, user_id, event_type, rdtsc % 1000000 / 1000.0 AS ms FROM e)
+    SELECT seq, 'Took ' || printf('%6d', arg0) || ' | ' || rpad(left(event_type, 3), 8, ' ') || ' | ' || printf('%08.2f', ms) || ' | ' || printf('%+d', user_id) || ' | ' || CASE WHEN arg0 = 0 THEN '0' ELSE '0x' || lower(to_hex(arg0)) END || ' | ' || printf('%e', ms) AS message FROM n""",
+)
+def render_formats(spark, sf_dir):
+    """Flags, widths, precisions and floats go through C's rules."""
+    from ..schema import ARG, DICTIONARY
+
+    none = "cast(null as int)"
+    fields = {"i": "cast(null as bigint)", "u": "cast(null as decimal(20,0))", "d": "cast(null as double)", "s": "cast(null as string)"}
+
+    def arg(kind, width=none, **own):
+        rest = ", ".join(f"'{k}', {own.get(k, v)}" for k, v in fields.items())
+        return f"named_struct('type', '{kind}', 'width', {width}, 'prec', {none}, {rest}, 'b', cast(null as binary))"
+
+    args = (arg("int_t", "6", i="cast(arg0 as bigint)"), arg("const_char_ptr_t", s="event_type"), arg("double_t", d="cast(rdtsc % 1000000 as double) / 1000.0"), arg("long_int_t", i="user_id"), arg("unsigned_int_t", i="cast(arg0 as bigint)"), arg("double_t", d="cast(rdtsc % 1000000 as double) / 1000.0"))
+    e = logview.events(spark, sf_dir).withColumn("log_id", F.lit(0).cast("long")).withColumn("args", F.expr(f"cast(array({', '.join(args)}) as array<{ARG}>)"))
+    one = spark.createDataFrame([(logview.FILE, 0, 0, "f.cc", 1, 3, _NOTE, 7, [], True)], DICTIONARY).drop("execution_id")
+    d = logview.executions(spark, sf_dir).select("execution_id").crossJoin(F.broadcast(one))  # one row
+    return render.message(e, d).select("seq", "message")
+
+
+@query("unknown_statements", "SELECT log_id, count(*) AS n, count(*) FILTER (log_id = 4) AS without FROM e GROUP BY log_id")
+def unknown_statements(spark, sf_dir):
+    """A statement that is no format leaves its messages without text, and loses none."""
+    e, d, _ = log(spark, sf_dir)
+    bad = d.withColumn("valid", F.col("log_id") != 4)
+    return render.message(e, bad).groupBy("log_id").agg(F.count("*").alias("n"), F.count_if(F.col("message").isNull()).alias("without"))
+
+
+@query("canonical_order_of_lines", "SELECT line, row_number() OVER (ORDER BY '__a__f46cc__' || line || '__') - 1 AS canonical_id FROM (SELECT unnest([1, 2, 10, 20, 21, 200]) AS line)")
+def canonical_order_of_lines(spark, sf_dir):
+    """Line 20 is before line 2: names end with a mark, and digits come before it."""
+    d = spark.createDataFrame([(n, "f.cc", "a") for n in (1, 2, 10, 20, 21, 200)], "line int, filename string, fmt string")
+    return select.numbered(d).select("line", "canonical_id")
 
 
 # --- times --------------------------------------------------------------------------------------------------------------
@@ -347,17 +438,79 @@ def binlog_roundtrip(spark, sf_dir):
     return back.join(rows.select("thread_id", "rdtsc", "seq"), ["thread_id", "rdtsc"]).select("thread_id", (F.col("rdtsc") - F.col("seq") % 1000).alias("rdtsc"), "seq", "message")
 
 
-@query("stream_ordered", "SELECT execution_id, row_number() OVER (PARTITION BY execution_id ORDER BY rdtsc, stage_id, extent_id, seq) AS position, seq FROM e")
+@query("text_source_aggregate", "SELECT CAST(min(arg0) AS BIGINT) AS min, CAST(max(arg0) AS BIGINT) AS max, CAST(sum(arg0) AS BIGINT) // nullif(count(*), 0) AS mean, CAST(sum(arg0) AS BIGINT) AS total, count(*) AS matching FROM m WHERE log_id = 4")
+def text_source_aggregate(spark, sf_dir):
+    """Lines rendered to text files in order, with markers and footer, read back as text."""
+    from ..shared import shared
+    from ..sources.text import text_lines
+
+    path = shared(spark, "text")
+    render.write_text(render.lines(*log(spark, sf_dir)), path)
+    return agg.text_totals(text_lines(spark, f"{path}/*"), "Hello World # ")
+
+
+@query("text_raw_read", "SELECT count(*) AS lines, CAST(sum(length(message)) AS BIGINT) AS characters FROM m")
+def text_raw_read(spark, sf_dir):
+    from ..shared import shared
+    from ..sources.text import raw_read
+
+    path = shared(spark, "text")
+    messages(spark, sf_dir).write.text(path)
+    return raw_read(spark, path)
+
+
+@query("log_write_level", "SELECT severity, count(*) AS n FROM m WHERE severity <= 2 GROUP BY severity")
+def log_write_level(spark, sf_dir):
+    """Messages below the level never reach the log."""
+    from .. import engine
+    from ..shared import shared
+
+    e, d, _ = log(spark, sf_dir)
+    rows = render.with_dictionary(e, d).select("thread_id", "rdtsc", "severity", "filename", "line", "fmt", "args")
+    path = engine.write_log(rows, shared(spark, "log"), WARNING)
+    read = lambda r: spark.read.format("binlog").option("relation", r).load(path)
+    return render.with_dictionary(read("events"), read("dictionary")).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+def event_stream(spark, sf_dir):
+    return logview.shaped(spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
+
+
+@query("stream_log_roundtrip", "SELECT log_id AS own_id, count(*) AS n, CAST(sum(rdtsc % 1000000007) AS BIGINT) AS mark FROM e GROUP BY log_id")
+def stream_log_roundtrip(spark, sf_dir):
+    """A stream written as binary logs, and read back as a stream of at most two files at a time."""
+    from ..shared import shared
+    from ..sources.binlog import register, stream_files
+
+    register(spark)
+    path, out = shared(spark, "log"), shared(spark, "events")
+    sites = spark.createDataFrame([(i, *site) for i, site in enumerate(logview.SITES)], "log_id bigint, filename string, line bigint, severity int, fmt string")
+    rows = event_stream(spark, sf_dir).join(F.broadcast(sites), "log_id").select("thread_id", "rdtsc", "severity", "filename", "line", "fmt", "args")
+    rows.writeStream.format("binlog").option("path", path).option("checkpointLocation", shared(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    back = stream_files(spark, path, 2).select("file", "execution_id", "log_id", "rdtsc")
+    back.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    known = spark.read.format("binlog").option("relation", "dictionary").load(path).select("file", "execution_id", "log_id", "line").withColumn("file", F.regexp_extract("file", "[^/]*$", 0))
+    read = spark.read.schema(back.schema).parquet(out).withColumn("file", F.regexp_extract("file", "[^/]*$", 0))
+    named = read.join(known, ["file", "execution_id", "log_id"]).join(F.broadcast(sites.select("line", F.col("log_id").alias("own_id"))), "line")
+    return named.groupBy("own_id").agg(F.count("*").alias("n"), F.sum(F.expr("rdtsc % 1000000007")).alias("mark"))
+
+
+@query(
+    "stream_ordered",
+    SQL.rstrip()
+    + """, x AS (SELECT *, CASE WHEN stage_id <= max(stage_id) OVER (PARTITION BY execution_id) - 3 THEN 0 ELSE 1 END AS phase FROM e), y AS (SELECT *, coalesce(max(CASE WHEN phase = 0 THEN rdtsc END) OVER (PARTITION BY execution_id), -1) AS sent FROM x)
+    SELECT execution_id, row_number() OVER (PARTITION BY execution_id ORDER BY phase, rdtsc, stage_id, extent_id, seq) AS position, seq, phase = 1 AND rdtsc < sent AS late FROM y""",
+)
 def stream_ordered(spark, sf_dir):
-    from ..streaming.ordered import ordered_append
+    """All but the last three stages first, these when the stream pauses; what is then behind what was sent is marked."""
+    from ..streaming.ordered import drained
 
-    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    return ordered_append(spark, source, logview.shaped).select("execution_id", "position", "seq")
+    n = logview.events(spark, sf_dir).count()
+    return drained(event_stream(spark, sf_dir), n).select("execution_id", "position", "seq", "late")
 
 
 @query("stream_counts", "SELECT log_id, count(*) AS n FROM e GROUP BY log_id")
 def stream_counts(spark, sf_dir):
     from ..streaming.ordered import running_counts
 
-    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    return running_counts(spark, logview.shaped(source), "log_id")
+    return running_counts(spark, event_stream(spark, sf_dir), "log_id")

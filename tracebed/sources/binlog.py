@@ -1,47 +1,54 @@
-"""spark.read.format("binlog"): executions, dictionary and events of binary logs, read by extents; and a writer.
+"""spark.read.format("binlog"): executions, dictionary, extents and events of binary logs; and writers, of batches and streams.
 
-Options: relation (events, dictionary, executions; default events), path (a file or a folder), columns (of events, as
-a list with commas), mode (FAILFAST or PERMISSIVE: a corrupt log is read up to the corruption), pushdown (true: with
-spark.sql.python.filterPushdown.enabled, equality filters on execution_id and thread_id skip whole extents).
+Options of a reader: relation (events, dictionary, executions, extents; default events), path (a file or a folder),
+columns (of events, as a list with commas), mode (FAILFAST or PERMISSIVE: a corrupt log is read up to the corruption),
+pushdown (true: with spark.sql.python.filterPushdown.enabled, equality filters on execution_id and thread_id skip whole
+extents, one on log_id skips messages before their arguments are made).
+
+A file of up to `WHOLE` bytes is walked and decoded by one task; only the headers of larger ones are walked before, some
+files at a time, to cut them at extents. Events leave a task as Arrow batches.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from decimal import Decimal
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..functions.fmt import NONE, num_nibbles
-from ..schema import DICTIONARY, EVENTS, EXECUTIONS
+from ..schema import DICTIONARY, EVENTS, EXECUTIONS, EXTENTS, LEVELS
+from ..shared import shared
 from .wire import Execution, Extent, Site, checkpoint, dictionary_fragment, extent, message_header, messages, packed_args, walk
 
 PER_PARTITION = 16 << 20
+WHOLE = 64 << 20
+ROWS = 8192  # of a batch
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:|/", path) else fs.FileSystem.from_uri(os.path.abspath(path))
 
 
-def logs(path: str) -> list[str]:
-    """The files of a path, in order of name."""
+def logs(path: str) -> dict[str, int]:
+    """The files of a path and their sizes, in order of name."""
     store, at = opened(path)
     info = store.get_file_info(at)
     if info.type == fs.FileType.File:
-        return [path]
+        return {path: info.size}
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(f"Unable to open file {path}")
     found = store.get_file_info(fs.FileSelector(at))
-    return sorted(f"{path.rstrip('/')}/{f.base_name}" for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
+    return {f"{path.rstrip('/')}/{f.base_name}": f.size for f in sorted(found, key=lambda f: f.base_name) if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")) and not f.base_name.endswith(".tmp")}
 
 
 def walked(path: str, permissive: bool) -> tuple[list[Execution], list[Extent]]:
@@ -52,9 +59,27 @@ def walked(path: str, permissive: bool) -> tuple[list[Execution], list[Extent]]:
 
 @dataclass
 class Part(InputPartition):
+    """Extents of a file with the statements of their executions; without extents, the whole file."""
+
     path: str
-    extents: list[Extent]
-    sites: dict[int, list[Site]]
+    extents: list[Extent] | None = None
+    sites: dict[int, list[Site]] | None = None
+
+
+def cut_up(path: str, executions: list[Execution], extents: list[Extent]) -> Iterator[Part]:
+    held, size = [], 0
+    for e in extents:
+        held.append(e)
+        size += e.length
+        if size >= PER_PARTITION:
+            yield part_of(path, executions, held)
+            held, size = [], 0
+    if held:
+        yield part_of(path, executions, held)
+
+
+def part_of(path: str, executions: list[Execution], extents: list[Extent]) -> Part:
+    return Part(path, extents, {e.execution_id: executions[e.execution_id].sites for e in extents})
 
 
 class Reader(DataSourceReader):
@@ -65,94 +90,147 @@ class Reader(DataSourceReader):
         self.equal: dict[str, int] = {}
 
     def partitions(self) -> list[InputPartition]:
-        if self.relation != "events":
-            return [Part(p, [], {}) for p in logs(self.options["path"])]
-        out = []
-        for path in logs(self.options["path"]):
-            executions, extents = walked(path, self.permissive)
-            held, size = [], 0
-            for e in extents:
-                if all(getattr(e, k) == v for k, v in self.equal.items()):
-                    held.append(e)
-                    size += e.length
-                    if size >= PER_PARTITION:
-                        out.append(Part(path, held, {}))
-                        held, size = [], 0
-            if held:
-                out.append(Part(path, held, {}))
-            for p in out:
-                if p.path == path:
-                    p.sites = {e.execution_id: executions[e.execution_id].sites for e in p.extents}
-        return out or [Part("", [], {})]
-
-    def read(self, partition: Part) -> Iterator[tuple]:
+        files = logs(self.options["path"])
+        large = [p for p, size in files.items() if size > WHOLE and self.relation == "events"]
+        out = [Part(p) for p in files if p not in set(large)]
+        with ThreadPoolExecutor(16) as pool:
+            for path, (executions, extents) in zip(large, pool.map(lambda p: walked(p, self.permissive), large), strict=True):
+                out += cut_up(path, executions, [e for e in extents if self.wanted(e)])
+        return out or [Part("")]
+
+    def wanted(self, e: Extent) -> bool:
+        return all(getattr(e, k) == v for k, v in self.equal.items() if k != "log_id")
+
+    def read(self, partition: Part) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        if not partition.path:
+            return
+        if self.relation == "events":
+            part = partition
+            if part.extents is None:
+                executions, extents = walked(part.path, self.permissive)
+                part = part_of(part.path, executions, [e for e in extents if self.wanted(e)])
+            yield from events(part, self.schema.fieldNames(), self.equal.get("log_id"))
+            return
         names = self.schema.fieldNames()
-        for row in self.rows(partition):
+        for row in self.rows(partition.path):
             yield tuple(row[n] for n in names)
 
-    def rows(self, part: Part) -> Iterator[dict]:
-        if not part.path:
-            return
-        if self.relation == "events":
-            yield from events(part)
+    def rows(self, path: str) -> Iterator[dict]:
+        executions, extents = walked(path, self.permissive)
+        if self.relation == "extents":
+            for e in extents:
+                yield {"file": path, "execution_id": e.execution_id, "stage_id": e.stage_id, "extent_id": e.extent_id, "thread_id": e.thread_id, "offset": e.offset, "bytes": e.length}
             return
-        executions, _ = walked(part.path, self.permissive)
         for k, e in enumerate(executions):
             if self.relation == "executions":
-                yield {"file": part.path, "execution_id": k, "ckpt_rdtsc": e.ckpt_rdtsc, "unix_time": e.unix_time, "cycles_per_second": e.cycles_per_second, "new_metadata_bytes": e.new_metadata_bytes, "total_metadata_entries": e.total_metadata_entries}
+                yield {"file": path, "execution_id": k, "ckpt_rdtsc": e.ckpt_rdtsc, "unix_time": e.unix_time, "cycles_per_second": e.cycles_per_second, "new_metadata_bytes": e.new_metadata_bytes, "total_metadata_entries": e.total_metadata_entries}
                 continue
             for i, s in enumerate(e.sites):
                 pieces = [(f.arg_type, f.dyn_width, f.dyn_prec, f.fragment) for f in s.fragments]
-                yield {"file": part.path, "execution_id": k, "log_id": i, "filename": s.filename, "line": s.line, "severity": s.severity, "fmt": s.fmt, "num_nibbles": num_nibbles(s.fragments), "fragments": pieces, "valid": s.valid}
+                yield {"file": path, "execution_id": k, "log_id": i, "filename": s.filename, "line": s.line, "severity": s.severity, "fmt": s.fmt, "num_nibbles": num_nibbles(s.fragments), "fragments": pieces, "valid": s.valid}
 
 
 class PushingReader(Reader):
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("execution_id",), ("thread_id",)):
+            if isinstance(f, EqualTo) and f.attribute in (("execution_id",), ("thread_id",), ("log_id",)):
                 self.equal[f.attribute[0]] = f.value
             else:
                 yield f
 
 
-def arg_row(a: dict) -> tuple:
-    return tuple(None if a.get(k) is None else Decimal(a[k]) if k == "u" else a[k] for k in ("type", "width", "prec", "i", "u", "d", "s", "b"))
+ARG_TYPES = {"type": pa.string(), "width": pa.int32(), "prec": pa.int32(), "i": pa.int64(), "u": pa.decimal128(20, 0), "d": pa.float64(), "s": pa.string(), "b": pa.binary()}
+COLUMN_TYPES = {"file": pa.string(), "execution_id": pa.int32(), "stage_id": pa.int32(), "extent_id": pa.int64(), "seq": pa.int32(), "thread_id": pa.int64(), "log_id": pa.int64(), "rdtsc": pa.int64()}
+
+
+def args_array(args: list[list[dict]]) -> pa.Array:
+    flat = [a for row in args for a in row]
+    ends = np_cumsum([len(row) for row in args])
+    children = [pa.array([a.get(k) for a in flat], t) for k, t in ARG_TYPES.items()]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(children, list(ARG_TYPES)))
+
 
+def np_cumsum(sizes: list[int]) -> list[int]:
+    out = [0]
+    for n in sizes:
+        out.append(out[-1] + n)
+    return out
+
+
+def events(part: Part, names: list[str], log_id: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of the named columns. Arguments are not unpacked into columns unless they are asked for."""
+    held: dict[str, list] = {n: [] for n in names}
+
+    def batch() -> pa.RecordBatch:
+        arrays = [args_array(held[n]) if n == "args" else pa.array(held[n], COLUMN_TYPES[n]) for n in names]
+        return pa.RecordBatch.from_arrays(arrays, names)
 
-def events(part: Part) -> Iterator[dict]:
     store, at = opened(part.path)
+    rows = 0
     with store.open_input_file(at) as f:
         for e in part.extents:
             f.seek(e.offset)
-            for seq, m in enumerate(messages(f.read(e.length), part.sites[e.execution_id])):
-                yield {"file": part.path, "execution_id": e.execution_id, "stage_id": e.stage_id, "extent_id": e.extent_id, "seq": seq, "thread_id": e.thread_id, "log_id": m.log_id, "rdtsc": m.rdtsc, "args": [arg_row(a) for a in m.args]}
+            found = list(enumerate(messages(f.read(e.length), part.sites[e.execution_id])))
+            if log_id is not None:
+                found = [x for x in found if x[1].log_id == log_id]
+            same = {"file": part.path, "execution_id": e.execution_id, "stage_id": e.stage_id, "extent_id": e.extent_id, "thread_id": e.thread_id}
+            for n in names:
+                held[n] += [same[n]] * len(found) if n in same else [k for k, _ in found] if n == "seq" else [getattr(m, n) for _, m in found]
+            rows += len(found)
+            if rows >= ROWS or not names:
+                yield batch()
+                held, rows = {n: [] for n in names}, 0
+    if rows:
+        yield batch()
 
 
 class StreamReader(DataSourceStreamReader):
-    """New files of a folder, and new whole extents of files that grow; the offset is a count of extents for each file."""
+    """New files of a folder, and new whole extents of files that grow; the offset is a count of extents for each file.
+
+    Files whose size has not changed are not read again for it."""
 
     def __init__(self, schema: StructType, options: dict):
         self.inner = Reader(schema, options | {"mode": "PERMISSIVE"})
+        self.seen: dict[str, tuple[int, list[Execution], list[Extent]]] = {}
+
+    def look(self, path: str, size: int | None = None) -> tuple[list[Execution], list[Extent]]:
+        if path not in self.seen or size is not None and self.seen[path][0] != size:
+            self.seen[path] = (-1 if size is None else size, *walked(path, True))
+        return self.seen[path][1:]
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        return {p: len(walked(p, True)[1]) for p in logs(self.inner.options["path"])}
+        return {p: len(self.look(p, size)[1]) for p, size in logs(self.inner.options["path"]).items() if size}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         out = []
         for path, n in end.items():
             if n > start.get(path, 0):
-                executions, extents = walked(path, True)
-                new = extents[start.get(path, 0) : n]
-                out.append(Part(path, new, {e.execution_id: executions[e.execution_id].sites for e in new}))
+                executions, extents = self.look(path)
+                out += cut_up(path, executions, extents[start.get(path, 0) : n])
         return out
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         return self.inner.read(partition)
 
 
+def stream_files(spark: SparkSession, path: str, per_trigger: int) -> DataFrame:
+    """A stream of the events of whole logs in a folder that takes at most `per_trigger` files at a time: writers may run
+    ahead of it, the rest waits in the folder. Files are found by Spark's file source and decoded by tasks."""
+    files = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "*.binlog").load(path)
+    names = list(COLUMN_TYPES) + ["args"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                yield from events(part_of(name, *walked(name, False)), names)
+
+    schema = {c.split()[0]: c for c in re.split(r", (?=\w+ )", EVENTS)}
+    return files.select("path").mapInArrow(run, ", ".join(schema[n] for n in names))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str
@@ -162,15 +240,24 @@ class Written(WriterCommitMessage):
 class Writer(DataSourceWriter):
     """Each task writes a log of its own: a checkpoint, the dictionary of its messages, then extents by thread.
 
-    Rows: thread_id, rdtsc, severity, filename, line, fmt, args. Options: path, ckpt_rdtsc, unix_time, cycles_per_second."""
+    Rows: thread_id, rdtsc, severity, filename, line, fmt, args. Options: path, ckpt_rdtsc, unix_time,
+    cycles_per_second, level (messages that are less severe are not written)."""
 
-    def __init__(self, options: dict, names: list[str]):
-        self.options, self.names = options, names
+    def __init__(self, options: dict):
+        self.options, self.least = options, int(options.get("level", len(LEVELS) - 1))
 
     def write(self, iterator: Iterator) -> Written:
+        store, at = opened(self.options["path"])
+        store.create_dir(at, recursive=True)
+        path = f"{at}/part-{uuid.uuid4().hex}.binlog"
+        with store.open_output_stream(f"{path}.tmp") as out:
+            out.write(checkpoint(int(self.options.get("ckpt_rdtsc", 0)), int(self.options.get("unix_time", 0)), float(self.options.get("cycles_per_second", 1e9))))
+            return Written(path, self.encode(iterator, out))
+
+    def encode(self, iterator: Iterator, out) -> int:
+        """Writes each extent when it is full; the number of messages."""
         sites: dict[tuple, int] = {}
         known: list[Site] = []
-        body: list[bytes] = []
         held: dict[int, list[bytes]] = defaultdict(list)
         size: dict[int, int] = defaultdict(int)
         last: dict[int, int] = defaultdict(int)
@@ -179,12 +266,14 @@ class Writer(DataSourceWriter):
         def flush(thread: int) -> None:
             nonlocal fresh
             if fresh:  # a message is never before its dictionary entry
-                body.append(dictionary_fragment(fresh, len(known)))
+                out.write(dictionary_fragment(fresh, len(known)))
                 fresh = []
-            body.append(extent(thread, b"".join(held.pop(thread)), True))
+            out.write(extent(thread, b"".join(held.pop(thread)), True))
             size[thread] = last[thread] = 0
 
         for row in iterator:
+            if not 0 < row["severity"] <= self.least:  # before its arguments are looked at
+                continue
             r = row.asDict(recursive=True)
             key = (r["severity"], r["filename"], r["line"], r["fmt"])
             if key not in sites:
@@ -207,13 +296,7 @@ class Writer(DataSourceWriter):
             n += 1
         for thread in list(held):
             flush(thread)
-        store, at = opened(self.options["path"])
-        store.create_dir(at, recursive=True)
-        path = f"{at}/part-{uuid.uuid4().hex}.binlog"
-        head = checkpoint(int(self.options.get("ckpt_rdtsc", 0)), int(self.options.get("unix_time", 0)), float(self.options.get("cycles_per_second", 1e9)))
-        with store.open_output_stream(f"{path}.tmp") as out:
-            out.write(head + b"".join(body))
-        return Written(path, n)
+        return n
 
     def commit(self, messages: list[Written]) -> None:
         store, _ = opened(self.options["path"])
@@ -228,6 +311,38 @@ class Writer(DataSourceWriter):
                 store.delete_file(f"{m.path}.tmp")
 
 
+class StreamWriter(DataSourceStreamWriter):
+    """Each micro-batch adds whole logs. A marker file tells which batches are in; a batch that runs again replaces what a
+    stopped commit has left of it, and adds nothing if it was in already."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def write(self, iterator: Iterator) -> Written:
+        return Writer(self.options).write(iterator)
+
+    def commit(self, messages: list[Written], batchId: int) -> None:  # noqa: N803
+        store, at = opened(self.options["path"])
+        mark, own = f"{at}/_batch-{batchId:012d}", f"batch-{batchId:012d}-"
+        if store.get_file_info(mark).type == fs.FileType.File:
+            self.abort(messages, batchId)
+            return
+        for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+            if f.base_name.startswith(own):
+                store.delete_file(f.path)
+        for m in messages:
+            if m is not None and m.messages:
+                folder, _, name = m.path.rpartition("/")
+                store.move(f"{m.path}.tmp", f"{folder}/{own}{name}")
+            elif m is not None:
+                store.delete_file(f"{m.path}.tmp")
+        with store.open_output_stream(mark) as out:
+            out.write(str(sum(m.messages for m in messages if m is not None)).encode())
+
+    def abort(self, messages: list[Written], batchId: int) -> None:  # noqa: N803
+        Writer(self.options).abort(messages)
+
+
 class BinlogSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -235,7 +350,7 @@ class BinlogSource(DataSource):
 
     def schema(self) -> str:
         relation = self.options.get("relation", "events")
-        full = {"events": EVENTS, "dictionary": DICTIONARY, "executions": EXECUTIONS}[relation]
+        full = {"events": EVENTS, "dictionary": DICTIONARY, "executions": EXECUTIONS, "extents": EXTENTS}[relation]
         if wanted := self.options.get("columns"):
             kinds = {m[1]: m[0] for m in re.finditer(r"(\w+) (?:array<.*>$|[\w()]+)", full)}
             return ", ".join(kinds[c.strip()] for c in wanted.split(","))
@@ -249,7 +364,10 @@ class BinlogSource(DataSource):
         return StreamReader(schema, dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return Writer(dict(self.options), schema.fieldNames())
+        return Writer(dict(self.options))
+
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:  # noqa: N802
+        return StreamWriter(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
@@ -260,7 +378,6 @@ def scratch_log(rows, **options) -> str:
     """Writes rows as logs in a folder that driver and executors share; its path."""
     spark = rows.sparkSession
     register(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tracebed-')}"
-    path = f"{base.rstrip('/')}/tracebed/log-{uuid.uuid4().hex}"
+    path = shared(spark, "log")
     rows.write.format("binlog").mode("append").options(path=path, **options).save()
     return path

@@ -1,34 +1,33 @@
-"""Streams of messages: ordered append with a bound on how late a stage may be, running counts, and sync."""
+"""Streams of messages: ordered release with a bound on how late a stage may be, running counts, and sync."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-BUFFERED = 3  # stages that may still be overtaken
-HELD = "execution_id int, rdtsc bigint, stage_id int, extent_id bigint, seq bigint, late boolean"
-COLUMNS = ["execution_id", "rdtsc", "stage_id", "extent_id", "seq"]
-
+from ..operators.select import BUFFERED
+from ..shared import shared
 
-def shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tracebed-')}"
-    return f"{base.rstrip('/')}/tracebed/{name}-{uuid.uuid4().hex}"
+HELD = "execution_id int, rdtsc bigint, stage_id int, extent_id bigint, seq bigint, position bigint, late boolean"
+COLUMNS = ["execution_id", "rdtsc", "stage_id", "extent_id", "seq"]
+STATE = "rows array<struct<execution_id:int,rdtsc:bigint,stage_id:int,extent_id:bigint,seq:bigint>>, sent bigint, n bigint"
 
 
 def release(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps an execution's last stages; older messages go out in order of time, and what comes later still is marked late.
+    """Keeps an execution's last stages; older messages go out in order of time, numbered, and what comes later than one
+    that has gone is marked late, however long ago that was.
 
-    State is bounded by three stages of one execution, not by the stream. A pause in the stream sends the rest."""
-    held, sent = (pd.DataFrame([list(r) for r in state.get[0]], columns=COLUMNS), state.get[1]) if state.exists else (pd.DataFrame([], columns=COLUMNS), -1)
+    State is bounded by three stages of one execution, not by the stream. A pause in the stream sends the rest; two
+    numbers stay for each execution: the latest time and the count of what was sent."""
+    held, sent, n = (pd.DataFrame([list(r) for r in state.get[0]], columns=COLUMNS), *state.get[1:]) if state.exists else (pd.DataFrame([], columns=COLUMNS), -1, 0)
     if state.hasTimedOut:
-        state.remove()
         done, keep = held, held.iloc[:0]
     else:
         new = [b[COLUMNS] for b in batches]
@@ -36,33 +35,48 @@ def release(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         last = held["stage_id"].max() - BUFFERED
         done, keep = held[held["stage_id"] <= last], held[held["stage_id"] > last]
     late = done["rdtsc"] < sent
-    if not state.hasTimedOut:
-        state.update(([tuple(map(int, r)) for r in keep.itertuples(index=False)], int(max([sent, *done["rdtsc"]]))))
+    state.update(([tuple(map(int, r)) for r in keep.itertuples(index=False)], int(max([sent, *done["rdtsc"]])), n + len(done)))
+    if len(keep):
         state.setTimeoutDuration(1000)
     if len(done):
-        yield done.assign(late=late).sort_values(["rdtsc", "stage_id", "extent_id", "seq"])
+        yield done.assign(late=late).sort_values(["rdtsc", "stage_id", "extent_id", "seq"]).assign(position=range(n + 1, n + len(done) + 1))[[c.split()[0] for c in HELD.split(", ")]]
 
 
 def ordered_stream(events: DataFrame) -> DataFrame:
     """A stream of HELD, each message once; none is dropped."""
-    state = "rows array<struct<execution_id:int,rdtsc:bigint,stage_id:int,extent_id:bigint,seq:bigint>>, sent bigint"
-    return events.select(*COLUMNS).groupBy("execution_id").applyInPandasWithState(release, HELD, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(*COLUMNS).groupBy("execution_id").applyInPandasWithState(release, HELD, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def sync(query: StreamingQuery) -> None:
-    """Returns when all that was there has been processed."""
+    """Returns when all that was there has been processed; stops the query."""
     query.processAllAvailable()
     query.stop()
 
 
-def ordered_append(spark: SparkSession, source: DataFrame, shaped: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Drains a source: micro-batches are appended to a table as they come, positions follow from its order of time."""
+def sunk(spark: SparkSession, path: str) -> DataFrame | None:
+    """What a stream of HELD has put into a folder so far."""
+    try:
+        return spark.read.schema(HELD).parquet(path)
+    except AnalysisException:  # nothing yet
+        return None
+
+
+def drained(events: DataFrame, n: int, seconds: float = 120) -> DataFrame:
+    """What ordered_stream gives of a source of n messages, the last stages too, which go when the source pauses."""
+    spark = events.sparkSession
     out, marks = shared(spark, "ordered"), shared(spark, "offsets")
-    events = shaped(source).select(*COLUMNS)
-    query = events.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    query.awaitTermination()
-    order = Window.partitionBy("execution_id").orderBy("rdtsc", "stage_id", "extent_id", "seq")
-    return spark.read.schema(events.schema).parquet(out).withColumn("position", F.row_number().over(order).cast("long"))
+    query = ordered_stream(events).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(processingTime="500 milliseconds").start()
+    began = time.time()
+    try:  # a stream with timeouts always has another batch, so there is no end of it to wait for
+        while (found := sunk(spark, out)) is None or found.count() < n:
+            if query.exception():
+                raise query.exception()
+            if time.time() - began > seconds:
+                raise TimeoutError(f"{n} messages did not come within {seconds} s")
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    return found
 
 
 def running_counts(spark: SparkSession, events: DataFrame, key: str) -> DataFrame:
