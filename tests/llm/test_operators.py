@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from tracebed.llm import blocks, chat, decontaminate, html, mixing, quality, simhash, suffixes, tokens, warc
 from tracebed.llm.common import NULL_ID, written
 from tracebed.llm.components import components
@@ -117,6 +119,55 @@ def test_transform():
         assert [x.tolist() for x in suffixes.repeated(texts, need)] == [[count[t[i : i + need]] > 1 for i in range(max(0, len(t) - need + 1))] for t in texts]
 
 
+def brute_apart(texts, need):
+    """By sorting all suffixes: whether each shares fewer than `need` bytes with the one above."""
+    rows = sorted((t[i:], k, i) for k, t in enumerate(texts) for i in range(len(t)))
+    shared = lambda x, y: next((n for n, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    return sum(shared(x[0], y[0]) >= need for x, y in zip(rows, rows[1:], strict=False))
+
+
+def test_intervals_find_every_common_prefix():
+    rng = random.Random(9)
+    for _ in range(100):
+        need = rng.choice([2, 3, 5])
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 6))]
+        lengths = np.array([len(t) for t in texts])
+        raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        stop = np.cumsum(lengths + 1) - 1
+        symbols = raw.astype(np.int64) + 1
+        symbols[stop] = 0
+        order = suffixes.suffix_array(symbols, np.repeat(stop, lengths + 1) - np.arange(len(raw)), int(lengths.max()) + 1)
+        apart = suffixes.expand_intervals(symbols[order - 1].astype(np.uint16), len(texts), need)
+        assert int((~apart).sum()) == brute_apart(texts, need)
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_long_words_that_polynomials_take_for_equal(spark, n):
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    start = prose(40, 12)
+    df = spark.createDataFrame([(1, f"{start} {word}"), (2, f"{start} {other}"), (3, f"{start} {word}")], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in blocks.dedup_words(df).collect()} == {1: 0, 2: 0, 3: 13}
+    removed = {r.doc_id: r.n_removed for r in suffixes.dedup_bytes(df).collect()}
+    texts = [f"{start} {x}".encode() for x in (word, other, word)]
+    assert [removed[i] for i in (1, 2, 3)] == [x[1] for x in brute_bytes(texts)]
+
+
+def test_chunks_share_partitions(spark, docs, monkeypatch):
+    """More chunks and buckets than partitions give the same rows."""
+    from tracebed.llm import packed
+
+    expected = [{tuple(r) for r in f(docs).collect()} for f in (blocks.dedup_words, suffixes.dedup_bytes)]
+    monkeypatch.setattr(packed, "CHUNK_BYTES", 512)
+    monkeypatch.setattr(packed, "PARTITIONS", 3)
+    assert packed.chunked(docs)[1] > 3
+    assert [{tuple(r) for r in f(docs).collect()} for f in (blocks.dedup_words, suffixes.dedup_bytes)] == expected
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -125,7 +176,6 @@ def test_chat(spark):
     given = [(1, 1, "user", "hi"), (1, 2, "assistant", hard), (1, 2, "assistant", hard), (1, None, "sys:tem", "a\\b"), (2, 0, None, None), (2, 1, "assistant", None), (None, 0, "user", "<x>"), (3, 0, "assistant", "y" * 200_000 + "\\")]
     df = spark.createDataFrame([(*r, "z") for r in given], "conv_id bigint, turn bigint, role string, text string, messages string")
     found = {r.conv_id: r for r in chat.formatted(df).collect()}
-    same(found[None][:0] or [], [])
     columns = "conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars"
     expected = [r for r in duck(f"SELECT {columns} FROM ({chat.ORACLE})", conversations=df) if r[0] != -7]
     same(found.values(), expected)
@@ -240,6 +290,21 @@ def test_quality_learns_thresholds(spark):
     assert quality.train(df, labels.where("false")) == [] and quality.train(df.where("false"), labels) == []
 
 
+def test_quality_verdict_by_brute_force(spark, docs):
+    """Rules, and the columns they name, by plain Python; clashing columns stay."""
+    rules = [[("symbol_ratio", ">", 0.25)], [("words", "<=", 60.0), ("distinct_ratio", ">", 0.9)]]
+    stats = quality.measured(quality.statistics(docs)).collect()
+    expected = []
+    for r in stats:
+        failed = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        symbols, distinct = (r.n_symbols / r.n_words, r.n_distinct / r.n_words) if r.n_words else (0, 0)
+        expected.append((r.doc_id, failed, not failed and not symbols > 0.25 and not (r.n_words <= 60 and distinct > 0.9)))
+    same(quality.judged(quality.statistics(docs), rules).select("doc_id", "base_failed", "kept").collect(), expected)
+    clash = docs.withColumn("kept", F.lit("mine")).withColumn("__at", F.lit(1)).withColumn("poor", F.lit(2))
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    assert quality.kept(clash, labels).columns == clash.columns and {r.kept for r in quality.kept(clash, labels).collect()} == {"mine"}
+
+
 # --- 7 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -362,7 +427,43 @@ def test_links_lose_nothing(spark, hot, monkeypatch):
     assert len(set(got.values())) == len(set(expected.values())) == len({(got[f], expected[f]) for f in fps})
 
 
-def test_components(spark):
+def test_chains_drop_candidates_before_distances():
+    """Fingerprints that agree in two segments and are random elsewhere: nearly all go by one segment's bits."""
+    rng, fps = np.random.default_rng(1), []
+    pair = simhash.PAIRS.index((0, 2))
+    fixed = np.uint64(simhash.segment(0) | simhash.segment(2))
+    base = rng.integers(0, 2**64, dtype=np.uint64)
+    other = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    fps = np.unique((base & fixed) | (other & ~fixed))
+    fps = np.unique(np.concatenate((fps, fps[:40] ^ np.uint64(1 << 20))))  # of segment 1
+    left, seen = np.arange(len(fps))[::-1], []
+    a, b = simhash.near(fps, np.full(len(fps), pair), left, seen)
+    candidates, chained, linked = np.sum(seen, axis=0)
+    assert candidates == len(fps) * (len(fps) - 1) // 2 and linked == len(a) >= 40
+    assert linked <= chained < candidates / 100
+    two, seen = fps[:2], []
+    simhash.near(two, np.full(2, pair), np.array([1, 0]), seen)  # groups of two ask the chain as well
+    assert [s[0] for s in seen] == [1]
+    for x in range(len(a)):
+        assert (int(fps[a[x]]) ^ int(fps[b[x]])).bit_count() <= 2
+
+
+def test_chains_keep_every_pair_within_two_bits():
+    for i in range(64):
+        for k in range(i, 64):
+            x = np.array([1 << i | 1 << k], np.uint64)
+            kept = [simhash.chained(x, np.array([p]))[0] for p, (s, t) in enumerate(simhash.PAIRS) if not int(x[0]) & (simhash.segment(s) | simhash.segment(t))]
+            assert any(kept)
+
+
+def test_links_refuse_other_limits(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp bigint"), 3)
+
+
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr("tracebed.llm.components.FEW", few)
     path = [(i, i + 1) for i in range(1, 200)] + [(500, 400 + k) for k in range(50)] + [(7, 7)]
     random.Random(5).shuffle(path)
     root = {r.node: r.root for r in components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
@@ -401,6 +502,35 @@ def test_permutation():
     assert (tokens.Permutation(1000, 1).slot(np.arange(1000)) != tokens.Permutation(1000, 2).slot(np.arange(1000))).any()
 
 
+def test_shards_do_not_depend_on_splits(spark, docs):
+    """The same rows in other files and buckets make the same shards; they hold the texts in the order of their hashes."""
+    found = []
+    for n, each in ((1, 16 << 20), (7, 1000)):
+        tokens_ = written(docs.repartition(n), "splits")
+        before, tokens.BUCKET_BYTES = tokens.BUCKET_BYTES, each
+        try:
+            manifest, order = tokens.shards(tokens_, length=128, per_shard=64)
+        finally:
+            tokens.BUCKET_BYTES = before
+        found.append(sorted((r.shard, r.slots, r.sha256) for r in manifest.collect()))
+    assert found[0] == found[1] and len(found[0]) > 1
+    slots = np.concatenate([np.stack(list(tokens.records(r.path, 128))) for r in sorted(manifest.collect(), key=lambda r: r.shard)])
+    stream = slots[order.slot(np.arange(order.n))].reshape(-1)
+    with open(tokens.TOKENIZER, "rb") as f:
+        encode = tokens.encoding(f.read()).encode_ordinary
+    hashed = docs.selectExpr("xxhash64(doc_id, text) & 9223372036854775807 as key", "text").collect()
+    expected = [t for r in sorted(hashed, key=lambda r: r.key) for t in [*encode(r.text or ""), 50256]]
+    assert stream[stream != tokens.PAD].tolist() == expected
+
+
+def test_a_megabyte_without_spaces(spark):
+    df = spark.createDataFrame([(1, "ab" * 500_000), (2, "x")], "doc_id bigint, text string")
+    out = tokens.read(*tokens.shards(df)).collect()
+    with open(tokens.TOKENIZER, "rb") as f:
+        n = len(tokens.encoding(f.read()).encode_ordinary("ab" * 500_000))
+    assert sum(r.n_tokens for r in out) == n + 3
+
+
 def test_token_shards(docs, empty, monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK", 1000)
     monkeypatch.setattr(tokens, "FLUSH", 5000)

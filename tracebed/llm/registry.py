@@ -13,6 +13,7 @@ QUERIES = {
     "op8_html_text": html.query,
     "op9_simhash": simhash.query,
     "op10_token_shards": tokens.query,
+    "quality_base": quality.base_query,  # the part of op6 that SQL can express
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.ORACLE,
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op4_warc": warc.ORACLE,
     "op5_block_dedup": blocks.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
+    "quality_base": quality.BASE_ORACLE,
 }
