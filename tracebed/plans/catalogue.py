@@ -430,7 +430,8 @@ def binlog_roundtrip(spark, sf_dir):
     e, d, _ = log(spark, sf_dir)
     # The sequence number travels in the timestamp's last digits, which are zero: clocks here tick in microseconds.
     rows = render.with_dictionary(e, d).select("thread_id", (F.col("rdtsc") + F.col("seq") % 1000).alias("rdtsc"), "severity", "filename", "line", "fmt", "args", "seq")
-    path = scratch_log(rows.drop("seq"))
+    # A log for each of the eight threads: tasks write and read as many at a time as there are.
+    path = scratch_log(rows.drop("seq").repartitionById(8, F.col("thread_id").cast("int")))
     read = spark.read.format("binlog").load(path)
     known = spark.read.format("binlog").option("relation", "dictionary").load(path)
     back = render.message(read, known).select("thread_id", "rdtsc", "message")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..functions.fmt import NONE, num_nibbles
+from ..functions.fmt import num_nibbles
 from ..schema import DICTIONARY, EVENTS, EXECUTIONS, EXTENTS, LEVELS
 from ..shared import shared
 from .wire import Execution, Extent, Site, checkpoint, dictionary_fragment, extent, message_header, messages, packed_args, walk
@@ -281,9 +281,8 @@ class Writer(DataSourceWriter):
                 known.append(Site(*key))
                 fresh.append(known[-1])
             site, thread = known[sites[key]], r["thread_id"]
-            expected = sum(f.arg_type != NONE for f in site.fragments)
-            if len(r["args"]) != expected:
-                raise ValueError(f"{site.fmt!r} takes {expected} arguments, not {len(r['args'])}")
+            if len(r["args"]) != len(site.takes):
+                raise ValueError(f"{site.fmt!r} takes {len(site.takes)} arguments, not {len(r['args'])}")
             packed = packed_args(site, r["args"])
             if len(packed) > 1 << 19:
                 raise ValueError(f"a message of {len(packed)} bytes is over the limit of {1 << 19}")
