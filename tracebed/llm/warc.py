@@ -29,6 +29,7 @@ from .common import scratch, written
 LEAST = 100
 ROLL = 512 << 20  # compressed bytes after which a task begins another archive
 STEP = 1 << 16
+TASK_BYTES = 64 << 20  # compressed, that a reading task takes
 RESULT = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
@@ -203,8 +204,10 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    # A hash of the name deals archives out; round robin would sort what it deals.
-    return manifest.repartition(max(1, manifest.count()), "path").mapInArrow(run, RESULT)
+    # Small archives share a task; large ones have one each. A hash of the name deals them out.
+    n, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, max(2 * manifest.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)))
+    return manifest.repartitionById(tasks, F.pmod(F.xxhash64("path"), F.lit(tasks)).cast("int")).mapInArrow(run, RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
