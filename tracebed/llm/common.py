@@ -189,3 +189,8 @@ def identified(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, *keep: str) -> DataFrame:
     """docs with other names for all columns but these, so that none clashes with what an operator adds."""
     return docs.toDF(*[c if c in keep else f"__c{i}" for i, c in enumerate(docs.columns)])
+
+
+def light(table: DataFrame, row_bytes: int = 24, most: int = 16 << 20) -> DataFrame:
+    """A written table, with a broadcast hint if it is small by the count in its files; else Spark chooses how to join it."""
+    return F.broadcast(table) if table.count() * row_bytes <= most else table

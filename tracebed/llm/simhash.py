@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_texts, identified, known, masked, mix64, parts, utf8, windows, written
+from .common import hashed_texts, identified, known, light, masked, mix64, parts, utf8, windows, written
 from .components import components, thinned
 
 HOT = 1024
@@ -344,7 +344,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> D
                 keep.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = written(docs.select("__file", "__row", "text").join(wanted, ["__file", "__row"]).select("node", "text").mapInArrow(sets, "node bigint, shingles binary"), "sets")
+    own = written(docs.select("__file", "__row", "text").join(light(wanted), ["__file", "__row"]).select("node", "text").mapInArrow(sets, "node bigint, shingles binary"), "sets")
     with_a = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = with_a.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return written(both.mapInArrow(verify, "a bigint, b bigint"), "similar")
@@ -363,8 +363,11 @@ def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     hot = found.where("b is null").select("a", "key", "n", "place")
     if not hot.isEmpty():
         roots = components(links.unionByName(similar(apart(hot, roots, nodes), nodes, named, size)))
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.file").alias("__file"), F.col("first.row").alias("__row"))
-    return named.join(kept, ["__file", "__row"], "left_semi").select(*own.columns).toDF(*docs.columns)
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.file", "first.row")
+    # The rows that go are fewer than those that stay, and have no texts.
+    gone = marks.where("block is null").select("file", "row").join(kept, ["file", "row"], "left_anti")
+    gone = written(gone.select(F.col("file").alias("__file"), F.col("row").alias("__row")), "gone")
+    return named.join(light(gone), ["__file", "__row"], "left_anti").select(*own.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
