@@ -80,6 +80,18 @@ def in_time_order(events: DataFrame, bounded: bool = False, source: DataFrame |
     return even.unionByName(merged).orderBy(*KEY[:2], "__at", *near).drop("__at")
 
 
+def positions(events: DataFrame, bits: int = 30) -> DataFrame:
+    """Adds `position`, from 1, of each message in the order of time of its execution. Messages are counted by ranges of
+    2**bits cycles first, so a task sorts a range of an execution and not all of it."""
+    ranged = events.withColumn("__range", F.shiftright("rdtsc", bits))
+    counts = ranged.groupBy(*KEY[:2], "__range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*KEY[:2]).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select(*KEY[:2], "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ahead"))
+    here = Window.partitionBy(*KEY[:2], "__range").orderBy(*[c for c in TIME_ORDER if c not in KEY[:2]])
+    placed = ranged.join(small(ahead), [*KEY[:2], "__range"])
+    return placed.withColumn("position", (F.row_number().over(here) + F.col("__ahead")).cast("long")).drop("__range", "__ahead")
+
+
 def out_of_order(events: DataFrame) -> DataFrame:
     """The executions that a merge of three stages does not bring into the order of time. Stages are first summed up each,
     so what a window sorts is a row for each stage and not for each message."""

@@ -45,11 +45,8 @@ def scan_file_order(spark, sf_dir):
 
 @query("decompress_ordered", "SELECT execution_id, row_number() OVER (PARTITION BY execution_id ORDER BY rdtsc, stage_id, extent_id, seq) AS position, rdtsc, thread_id, message FROM m")
 def decompress_ordered(spark, sf_dir):
-    from pyspark.sql import Window
-
     e, d, _ = log(spark, sf_dir)
-    at = F.row_number().over(Window.partitionBy("file", "execution_id").orderBy("rdtsc", "stage_id", "extent_id", "seq"))
-    return render.message(e, d).select("execution_id", at.cast("long").alias("position"), "rdtsc", "thread_id", "message")
+    return render.message(select.positions(e), d).select("execution_id", "position", "rdtsc", "thread_id", "message")
 
 
 @query("decompress_unordered", "SELECT execution_id, extent_id, seq, message FROM m")
