@@ -38,7 +38,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8; by fingerprints, then exactly) the smallest doc_id stays."""
     return simhash.one_of_each(docs)
 
 

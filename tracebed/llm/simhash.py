@@ -164,22 +164,43 @@ def linked(docs: DataFrame, size: int = 3, limit: int = LIMIT) -> DataFrame:
 # --- groups of near copies, for a filter -------------------------------------------------------------------------------
 #
 # Two documents are linked if the sets of their five-word shingles have a similarity (Jaccard) of 0.8 or more, and it is
-# the sets that decide. Candidates are complete: if every set is put in one order of all shingles, two sets of that
+# the sets that decide. Links are looked for twice.
+#
+# First by fingerprints of 512 bits of the sets, on a ring of 32 segments. Sets that are equal in a segment meet under it,
+# and stay if each chain from there on, of two to five segments, has no more than its share of `WIDE` differences, three a
+# segment; what is left has its whole Hamming distance taken, and then its sets compared. Each of a key's rows goes on with
+# the nearest row before it, and in a key of more than `HOT` rows only neighbours in the order of the next segments are
+# compared. Two that differ in up to 31 bits have a key whose chains they pass; 0.8 is up to 105 bits, where only keys that
+# hold a fifth of all pairs are complete, so this finds most links and not all.
+#
+# So then, exactly, whatever that has left apart. If every set is put in one order of all shingles, two sets of that
 # similarity share a shingle among the first n - ceil(0.8 n) + 1 of each, and the first that they share leaves room for
 # the overlap that 0.8 asks for. The order is by rarity, as far as a table of counts of fixed size tells it; any
-# order is complete, this one makes few candidates. Fingerprints could not do this: 0.8 is some 75 to 100 of 512 bits, and
-# the pigeonring's keys for so many differences hold about a fifth of all pairs.
+# order is complete, this one makes few candidates. Of these only pairs in different components are compared.
 #
 # Equal sets are one node, named by 64 bits of their hash; shingles are 64-bit hashes. So results are whole but for
 # collisions of these. A shingle of more than `RUN` nodes is first compared along its ring, and then only between
 # components that this has left apart.
 
+WORDS, RINGED, WIDE = 8, 32, 96  # words of 64 bits, segments and limit of these fingerprints
+SEEDS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: The bits that follow a segment up to the end of a chain, and the chain's share of the limit.
+SHARES = [((1 << 16 * k) - 1, WIDE * (k + 1) // RINGED) for k in range(1, 5)]
 COUNTERS, BLOCKS, RUN, RING, SKETCH = 1 << 20, 16, 16, 8, 256
 PARTITIONS = 8192  # of a shuffle
 def node_of(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def wide_fingerprint(s: np.ndarray) -> np.ndarray:
+    """512 bits of a set of hashes, as eight words: each is set if it is in more than half of the hashes mixed anew."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(s), 255):  # as many as a byte counts
+        bits = np.unpackbits(mix64(s[i : i + 255, None] ^ SEEDS).view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(s), bitorder="little").view("<u8")
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Of each text the hashes of all runs of `size` words, each once and sorted; of all words, if they are fewer."""
     buf, off = utf8(column)
@@ -190,31 +211,93 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def marked(docs: DataFrame, size: int) -> DataFrame:
-    """One reading of all texts. For each document file, row, doc_id, node and how many of its shingles have each of SKETCH
-    other hashes; and, as rows with a block, about how many documents of each task have a shingle, by its hash modulo
+    """One reading of all texts. For each document file, row, doc_id, node, fingerprint and how many of its shingles have
+    each of SKETCH other hashes; and, as rows with a block, about how many documents of each task have a shingle, by its hash modulo
     COUNTERS."""
     each = COUNTERS // BLOCKS
-    names = ["file", "row", "doc_id", "node", "sketch", "block", "counts"]
-    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary()]
+    names = ["file", "row", "doc_id", "node", "fp", "sketch", "block", "counts"]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            nodes, sketches = [], []
+            nodes, fps, sketches = [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 nodes.append(node_of(s))
+                fps.append(wide_fingerprint(s).view(np.int64))
                 sketches.append(np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) & SKETCH - 1, minlength=SKETCH), 255).astype(np.uint8).tobytes())
                 np.add.at(counts, s.astype(np.int64) & COUNTERS - 1, 1)
-            own = [batch.column("__file"), batch.column("__row"), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(nodes), k) for k in kinds[5:])], names)
+            own = [batch.column("__file"), batch.column("__row"), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(fps, kinds[4]), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(nodes), k) for k in kinds[6:])], names)
         if counts.any():
             low = np.minimum(counts, 65535).astype(np.uint16).reshape(BLOCKS, each)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(BLOCKS, k) for k in kinds[:5]), pa.array(range(BLOCKS), pa.int32()), pa.array([r.tobytes() for r in low], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(BLOCKS, k) for k in kinds[:6]), pa.array(range(BLOCKS), pa.int32()), pa.array([r.tobytes() for r in low], pa.binary())], names)
 
-    out = docs.select("__file", "__row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file bigint, row bigint, doc_id bigint, node bigint, sketch binary, block int, counts binary")
+    out = docs.select("__file", "__row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file bigint, row bigint, doc_id bigint, node bigint, fp array<bigint>, sketch binary, block int, counts binary")
     return written(out, "marked")
 
 
+def nearest(key: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows are in the order of key and ahead, the 64 bits after an equal segment. For each row that has one, the row before
+    it that is nearest of those whose chains stay within their shares."""
+    at = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
+    size = np.diff(at)
+    left = np.repeat(at[1:], size) - np.arange(len(key)) - 1
+    left = np.where(np.repeat(size, size) > HOT, np.minimum(left, RING), left)
+    best, other = np.full(len(key), 65), np.full(len(key), -1)
+    i, d = np.flatnonzero(left), 1
+    while len(i):
+        x = ahead[i] ^ ahead[i + d]
+        k = np.arange(len(i))
+        for bits, share in SHARES:
+            k = k[np.bitwise_count(x[k] & np.uint64(bits)) <= share]
+        far, j = np.bitwise_count(x[k]), i[k] + d
+        nearer = far < best[j]
+        best[j[nearer]], other[j[nearer]] = far[nearer], i[k][nearer]
+        d += 1
+        i = i[left[i] >= d]
+    found = np.flatnonzero(other >= 0)
+    return found, other[found]
+
+
+def alike(nodes: DataFrame) -> DataFrame:
+    """nodes: node, fp. Pairs a, b of nodes whose fingerprints meet in a segment, pass its chains and differ in at most
+    `WIDE` bits."""
+    buckets = parts(nodes, 1 << 20)
+    row = np.dtype([("ahead", "<u8"), ("node", "<i8"), ("key", "<u4")])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            fp = batch.column("fp").flatten().to_numpy().view("<u2").reshape(-1, RINGED)
+            rows = np.empty(fp.shape, row)
+            rows["key"] = fp + (np.arange(RINGED, dtype=np.uint32) << 16)
+            rows["node"] = batch.column("node").to_numpy()[:, None]
+            rows["ahead"] = np.stack([np.roll(fp, -k, axis=1) for k in range(1, 5)], axis=2).view("<u8")[:, :, 0]
+            rows = rows.ravel()
+            bucket = (mix64(rows["key"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            at = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
+            packed = [rows[by[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[by[at[:-1]]], pa.int32()), "rows": pa.array(packed, pa.binary())})
+
+    def meet(t: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(t.column("rows").to_pylist()), row)
+        rows = rows[np.lexsort((rows["node"], rows["ahead"], rows["key"]))]
+        a, b = nearest(rows["key"], rows["ahead"])
+        pair = np.unique(np.sort(np.stack((rows["node"][a], rows["node"][b])), axis=0), axis=1)
+        return pa.table({"a": pair[0], "b": pair[1]})
+
+    dealt = nodes.select("node", "fp").mapInArrow(deal, "bucket int, rows binary")
+    met = dealt.repartitionById(min(buckets, PARTITIONS), F.col("bucket")).groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
+    pairs = written(met.distinct(), "met")
+    with_a = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a")
+    both = with_a.join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
+    far = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(WORDS)), F.lit(0))
+    return both.where(far <= WIDE).select("a", "b")
+
+
 def rarity(marks: DataFrame) -> np.ndarray:
     """The counters of all tasks together."""
     each = COUNTERS // BLOCKS
@@ -350,15 +433,26 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> D
     return written(both.mapInArrow(verify, "a bigint, b bigint"), "similar")
 
 
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs: a, b. Those whose ends are in different components."""
+    for c in ("a", "b"):
+        own = roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        pairs = pairs.join(own, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    return pairs.where("root_a != root_b").select("a", "b")
+
+
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays."""
     own = masked(docs, "doc_id", "text")
     named = identified(own)
     marks = marked(named, size)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "file", "row"))
-    nodes = written(marks.where("block is null").groupBy("node").agg(first.alias("first"), F.any_value("sketch").alias("sketch")), "nodes")
+    each = [F.any_value(c).alias(c) for c in ("fp", "sketch")]
+    nodes = written(marks.where("block is null").groupBy("node").agg(first.alias("first"), *each), "nodes")
+    links = similar(alike(nodes), nodes, named, size)
+    roots = written(components(links), "roots")
     found = written(candidates(named, marks, size), "candidates")
-    links = similar(found.where("b is not null").select("a", "b"), nodes, named, size)
+    links = links.unionByName(similar(between(found.where("b is not null").select("a", "b"), roots), nodes, named, size))
     roots = components(links)
     hot = found.where("b is null").select("a", "key", "n", "place")
     if not hot.isEmpty():
