@@ -12,23 +12,29 @@ files at a time, to cut them at extents. Events leave a task as Arrow batches.
 from __future__ import annotations
 
 import os
+import pickle
 import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..functions.fmt import num_nibbles
+from ..functions.columnar import starts
+from ..functions.fmt import Fragment, num_nibbles
 from ..schema import DICTIONARY, EVENTS, EXECUTIONS, EXTENTS, LEVELS
 from ..shared import shared
-from .wire import Execution, Extent, Site, checkpoint, dictionary_fragment, extent, message_header, messages, packed_args, walk
+from .columns import ARG_TYPES, Plan, args_array, decoded, packed
+from .wire import Execution, Extent, Site, checkpoint, dictionary_fragment, extent, message_header, walk
 
 PER_PARTITION = 16 << 20
 WHOLE = 64 << 20
@@ -66,18 +72,23 @@ class Part(InputPartition):
     sites: dict[int, list[Site]] | None = None
 
 
-def cut_up(path: str, executions: list[Execution], extents: list[Extent]) -> Iterator[Part]:
+def cut_up(path: str, executions: list[Execution], extents: list[Extent], step: int | None = None) -> Iterator[Part]:
     held, size = [], 0
     for e in extents:
         held.append(e)
         size += e.length
-        if size >= PER_PARTITION:
+        if size >= (step or PER_PARTITION):
             yield part_of(path, executions, held)
             held, size = [], 0
     if held:
         yield part_of(path, executions, held)
 
 
+def restored(path: str, extents: list[tuple], sites: dict[int, list[tuple]]) -> Part:
+    """A part from its plain values, which travel between tasks."""
+    return Part(path, [Extent(*e) for e in extents], {k: [Site(*s[:4], [Fragment(*f) for f in s[4]], *s[5:]) for s in own] for k, own in sites.items()})
+
+
 def part_of(path: str, executions: list[Execution], extents: list[Extent]) -> Part:
     return Part(path, extents, {e.execution_id: executions[e.execution_id].sites for e in extents})
 
@@ -139,45 +150,29 @@ class PushingReader(Reader):
                 yield f
 
 
-ARG_TYPES = {"type": pa.string(), "width": pa.int32(), "prec": pa.int32(), "i": pa.int64(), "u": pa.decimal128(20, 0), "d": pa.float64(), "s": pa.string(), "b": pa.binary()}
 COLUMN_TYPES = {"file": pa.string(), "execution_id": pa.int32(), "stage_id": pa.int32(), "extent_id": pa.int64(), "seq": pa.int32(), "thread_id": pa.int64(), "log_id": pa.int64(), "rdtsc": pa.int64()}
 
 
-def args_array(args: list[list[dict]]) -> pa.Array:
-    flat = [a for row in args for a in row]
-    ends = np_cumsum([len(row) for row in args])
-    children = [pa.array([a.get(k) for a in flat], t) for k, t in ARG_TYPES.items()]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(children, list(ARG_TYPES)))
-
-
-def np_cumsum(sizes: list[int]) -> list[int]:
-    out = [0]
-    for n in sizes:
-        out.append(out[-1] + n)
-    return out
-
-
 def events(part: Part, names: list[str], log_id: int | None = None) -> Iterator[pa.RecordBatch]:
     """Batches of the named columns. Arguments are not unpacked into columns unless they are asked for."""
-    held: dict[str, list] = {n: [] for n in names}
+    held: dict[str, list[pa.Array]] = {n: [] for n in names}
 
     def batch() -> pa.RecordBatch:
-        arrays = [args_array(held[n]) if n == "args" else pa.array(held[n], COLUMN_TYPES[n]) for n in names]
-        return pa.RecordBatch.from_arrays(arrays, names)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(held[n]) for n in names], names)
 
     store, at = opened(part.path)
+    plans = {k: [Plan(s) for s in sites] for k, sites in part.sites.items()}
     rows = 0
     with store.open_input_file(at) as f:
         for e in part.extents:
             f.seek(e.offset)
-            found = list(enumerate(messages(f.read(e.length), part.sites[e.execution_id])))
-            if log_id is not None:
-                found = [x for x in found if x[1].log_id == log_id]
+            found = decoded(f.read(e.length), plans[e.execution_id], "args" in names, log_id)
             same = {"file": part.path, "execution_id": e.execution_id, "stage_id": e.stage_id, "extent_id": e.extent_id, "thread_id": e.thread_id}
+            own = {"seq": found.seq, "log_id": found.ids, "rdtsc": found.times}
             for n in names:
-                held[n] += [same[n]] * len(found) if n in same else [k for k, _ in found] if n == "seq" else [getattr(m, n) for _, m in found]
-            rows += len(found)
-            if rows >= ROWS or not names:
+                held[n].append(args_array(found, plans[e.execution_id]) if n == "args" else pa.array(own[n], COLUMN_TYPES[n]) if n in own else pa.repeat(pa.scalar(same[n], COLUMN_TYPES[n]), len(found.ids)))
+            rows += len(found.ids)
+            if rows >= ROWS:
                 yield batch()
                 held, rows = {n: [] for n in names}, 0
     if rows:
@@ -216,19 +211,30 @@ class StreamReader(DataSourceStreamReader):
         return self.inner.read(partition)
 
 
-def stream_files(spark: SparkSession, path: str, per_trigger: int) -> DataFrame:
-    """A stream of the events of whole logs in a folder that takes at most `per_trigger` files at a time: writers may run
-    ahead of it, the rest waits in the folder. Files are found by Spark's file source and decoded by tasks."""
+STEP = 4 << 20
+
+
+def stream_files(spark: SparkSession, path: str, per_trigger: int, columns: list[str] | None = None) -> DataFrame:
+    """A stream of the events (or the named columns of them) of whole logs in a folder that takes at most `per_trigger` files
+    at a time: writers may run ahead of it, the rest waits in the folder. Files are found by Spark's file source; a task
+    walks each, and all tasks decode a few MB of extents at a time, however few the files are."""
     files = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "*.binlog").load(path)
-    names = list(COLUMN_TYPES) + ["args"]
+    schema = {c.split()[0]: c for c in re.split(r", (?=\w+ )", EVENTS)}
+    names = columns or [*COLUMN_TYPES, "args"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column("path").to_pylist():
-                yield from events(part_of(name, *walked(name, False)), names)
+                for part in cut_up(name, *walked(name, False), STEP):
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([pickle.dumps(astuple(part))], pa.binary())})
 
-    schema = {c.split()[0]: c for c in re.split(r", (?=\w+ )", EVENTS)}
-    return files.select("path").mapInArrow(run, ", ".join(schema[n] for n in names))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column("part"):
+                yield from events(restored(*pickle.loads(part.as_py())), names)
+
+    parts = files.select("path").mapInArrow(cut, "part binary").repartition(spark.sparkContext.defaultParallelism)
+    return parts.mapInArrow(run, ", ".join(schema[n] for n in names))
 
 
 @dataclass
@@ -237,6 +243,27 @@ class Written(WriterCommitMessage):
     messages: int
 
 
+WRITTEN = pa.schema({"thread_id": pa.int64(), "rdtsc": pa.int64(), "severity": pa.int32(), "filename": pa.string(), "line": pa.int64(), "fmt": pa.string(), "args": pa.list_(pa.struct(ARG_TYPES))})
+
+
+def batches(rows: Iterator) -> Iterator[pa.RecordBatch]:
+    while chunk := [r.asDict(recursive=True) for r in islice(rows, ROWS)]:
+        yield pa.RecordBatch.from_pylist(chunk, WRITTEN)
+
+
+def all_packed(known: list[Site], ids: np.ndarray, args: pa.ListArray) -> list[bytes]:
+    """The packed arguments of each message, worked out a statement at a time."""
+    begin, sizes = starts(args)
+    out: list[bytes] = [b""] * len(ids)
+    for k in np.unique(ids).tolist():
+        rows, takes = np.flatnonzero(ids == k), len(known[k].takes)
+        if (wrong := sizes[rows][sizes[rows] != takes]).size:
+            raise ValueError(f"{known[k].fmt!r} takes {takes} arguments, not {'null' if wrong[0] < 0 else wrong[0]}")
+        for r, data in zip(rows.tolist(), packed(known[k], args.values, begin[rows]), strict=True):
+            out[r] = data
+    return out
+
+
 class Writer(DataSourceWriter):
     """Each task writes a log of its own: a checkpoint, the dictionary of its messages, then extents by thread.
 
@@ -247,14 +274,17 @@ class Writer(DataSourceWriter):
         self.options, self.least = options, int(options.get("level", len(LEVELS) - 1))
 
     def write(self, iterator: Iterator) -> Written:
+        return self.save(batches(iterator))
+
+    def save(self, found: Iterator[pa.RecordBatch]) -> Written:
         store, at = opened(self.options["path"])
         store.create_dir(at, recursive=True)
         path = f"{at}/part-{uuid.uuid4().hex}.binlog"
         with store.open_output_stream(f"{path}.tmp") as out:
             out.write(checkpoint(int(self.options.get("ckpt_rdtsc", 0)), int(self.options.get("unix_time", 0)), float(self.options.get("cycles_per_second", 1e9))))
-            return Written(path, self.encode(iterator, out))
+            return Written(path, self.encode(found, out))
 
-    def encode(self, iterator: Iterator, out) -> int:
+    def encode(self, found: Iterator[pa.RecordBatch], out) -> int:
         """Writes each extent when it is full; the number of messages."""
         sites: dict[tuple, int] = {}
         known: list[Site] = []
@@ -271,28 +301,29 @@ class Writer(DataSourceWriter):
             out.write(extent(thread, b"".join(held.pop(thread)), True))
             size[thread] = last[thread] = 0
 
-        for row in iterator:
-            if not 0 < row["severity"] <= self.least:  # before its arguments are looked at
-                continue
-            r = row.asDict(recursive=True)
-            key = (r["severity"], r["filename"], r["line"], r["fmt"])
-            if key not in sites:
-                sites[key] = len(known)
-                known.append(Site(*key))
-                fresh.append(known[-1])
-            site, thread = known[sites[key]], r["thread_id"]
-            if len(r["args"]) != len(site.takes):
-                raise ValueError(f"{site.fmt!r} takes {len(site.takes)} arguments, not {len(r['args'])}")
-            packed = packed_args(site, r["args"])
-            if len(packed) > 1 << 19:
-                raise ValueError(f"a message of {len(packed)} bytes is over the limit of {1 << 19}")
-            if size[thread] + len(packed) + 16 > 1 << 19:
-                flush(thread)
-            data = message_header(sites[key], int(r["rdtsc"]), last[thread]) + packed
-            last[thread] = int(r["rdtsc"])
-            held[thread].append(data)
-            size[thread] += len(data)
-            n += 1
+        for batch in found:
+            level = batch.column("severity")
+            if level.null_count:
+                raise ValueError("a message has no severity")
+            # Messages that are not severe enough go before their arguments are looked at.
+            batch = batch.filter(pc.and_(pc.greater(level, 0), pc.less_equal(level, self.least)))
+            ids = []
+            for key in zip(*(batch.column(c).to_pylist() for c in ("severity", "filename", "line", "fmt")), strict=True):
+                if key not in sites:
+                    sites[key] = len(known)
+                    known.append(Site(*key))
+                    fresh.append(known[-1])
+                ids.append(sites[key])
+            for site, thread, at, data in zip(ids, batch.column("thread_id").to_pylist(), batch.column("rdtsc").to_pylist(), all_packed(known, np.array(ids, int), batch.column("args")), strict=True):
+                if len(data) > 1 << 19:
+                    raise ValueError(f"a message of {len(data)} bytes is over the limit of {1 << 19}")
+                if size[thread] + len(data) + 16 > 1 << 19:
+                    flush(thread)
+                data = message_header(site, at, last[thread]) + data
+                last[thread] = at
+                held[thread].append(data)
+                size[thread] += len(data)
+            n += len(ids)
         for thread in list(held):
             flush(thread)
         return n
@@ -310,6 +341,11 @@ class Writer(DataSourceWriter):
                 store.delete_file(f"{m.path}.tmp")
 
 
+class ArrowWriter(Writer, DataSourceArrowWriter):
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        return self.save(iterator)
+
+
 class StreamWriter(DataSourceStreamWriter):
     """Each micro-batch adds whole logs. A marker file tells which batches are in; a batch that runs again replaces what a
     stopped commit has left of it, and adds nothing if it was in already."""
@@ -342,6 +378,11 @@ class StreamWriter(DataSourceStreamWriter):
         Writer(self.options).abort(messages)
 
 
+class StreamArrowWriter(StreamWriter, DataSourceStreamArrowWriter):
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        return Writer(self.options).save(iterator)
+
+
 class BinlogSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -363,10 +404,10 @@ class BinlogSource(DataSource):
         return StreamReader(schema, dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return Writer(dict(self.options))
+        return ArrowWriter(dict(self.options))
 
     def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:  # noqa: N802
-        return StreamWriter(dict(self.options))
+        return StreamArrowWriter(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
