@@ -1,4 +1,4 @@
-"""Logs encoded and decoded by columns, against the format's message-by-message definition."""
+"""Logs encoded, decoded and rendered by columns, against the format's message-by-message definition."""
 
 import io
 import random
@@ -6,8 +6,14 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tracebed.functions.columnar import rendered
+from tracebed.functions.fmt import Renderer, c_format, converter, specifiers
+from tracebed.operators import render
+from tracebed.plans import catalogue
 from tracebed.sources import binlog
 from tracebed.sources.columns import ARG_TYPES, Plan, args_array, decoded, packed
 from tracebed.sources.wire import CorruptLog, Site, message_header, messages, packed_args, walk
@@ -86,3 +92,34 @@ def test_one_file_of_a_stream_is_decoded_by_many_tasks(spark, tmp_path, monkeypa
     found = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.v for r in found.selectExpr("args[0].i as v").collect()) == list(range(1000))
     assert found.select("file").distinct().count() == 1 and found.select("task").distinct().count() > 1
+
+
+def test_formats_rendered_by_columns_are_what_messages_are():
+    rng = random.Random(5)
+    kinds = ("%d", "%5d|", "%-05d|", "%+d", "% i", "%.3d", "%u", "%+u", "%#x", "%#lX", "%08x", "%hhd", "%ho", "%f", "%08.2lf", "%-+9.1e|", "%#.0f", "%g", "%5.f", "%F", "%a", "%c", "%s", "%-8.3s|", "%*d", "%.*lf", "%*.*s", "%p", "100%% %ld %E %lu", "no argument")
+    rows = []
+    for fmt in kinds:
+        site = Site(3, "f.cc", 1, fmt)
+        rows += [(fmt, [argument(rng, f) for f in site.takes]) for _ in range(40)]
+    rows += [("%f", [dict.fromkeys(ARG_TYPES) | {"d": v}]) for v in (0.125, float("nan"), -float("inf"), -0.0, 0.0)]
+    rows += [("%d %s", [dict.fromkeys(ARG_TYPES) | {"i": 3}]), ("%s", [dict.fromkeys(ARG_TYPES) | {"b": b"raw"}]), ("%d", [dict.fromkeys(ARG_TYPES) | {"d": 2.0}])]
+    rng.shuffle(rows)
+    for part in (rows, rows[:1], [r for r in rows if r[0] == "%f"], []):
+        args = pa.array([[], *[a for _, a in part]], pa.list_(pa.struct(ARG_TYPES)))[1:]
+        assert rendered(pa.array([f for f, _ in part], pa.string()), args).to_pylist() == [Renderer(f)(a) for f, a in part]
+
+
+@given(st.sampled_from(("%d", "%+5d", "%-8ld|", "%05hd", "%u", "% lu", "%x", "%012lX", "%#d", "%e", "%+08.2f", "%-9.3g|", "%#g")), st.one_of(st.integers(-(2**63), 2**64 - 1), st.floats()))
+def test_converters_are_c_format(fmt, value):
+    (m,) = specifiers(fmt)
+    if isinstance(value, int) or m["conv"] in "egf":
+        kind = Renderer(fmt).steps[0][2]
+        assert converter(m, kind)(value) == c_format(m, kind, value, None, None)
+
+
+def test_rendering_takes_only_formats_and_arguments_to_python(spark):
+    e = catalogue.logview.events(spark, "/root/testdata/sf0.001").withColumn("wide", F.repeat(F.lit("x"), 100))
+    d = catalogue.logview.dictionary(spark, catalogue.logview.executions(spark, "/root/testdata/sf0.001")).withColumn("fmt", F.replace("fmt", F.lit("%d"), F.lit("%4d")))
+    plan = render.message(e, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython [run(fmt#" in plan
+    assert render.message(e, d).where("message like 'Hello World #   _7' and wide is not null").count() > 0

@@ -7,10 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.clock import rendered_time, wall_clock
-from ..functions.fmt import Renderer
+from ..functions.columnar import rendered
 from ..schema import KEY, LEVELS, TIME_ORDER
 
 # Fixed values of the text output.
@@ -67,19 +66,12 @@ def message(events: DataFrame, dictionary: DataFrame, unknown: str = "null") ->
     if d.where("valid and not plain").isEmpty():  # the dictionary is looked at, never the events
         return easy
     hard = both.where(~bare).drop("texts", "plain")
-    schema = T.StructType([*hard.schema.fields, T.StructField("message", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Renderer] = {}
-        for batch in batches:
-            lines = []
-            for fmt, args in zip(batch.column("fmt").to_pylist(), batch.column("args").to_pylist(), strict=True):
-                if fmt not in known:
-                    known[fmt] = Renderer(fmt)
-                lines.append(known[fmt](args))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.string())], [*batch.schema.names, "message"])
-
-    return easy.unionByName(hard.mapInArrow(run, schema))
+
+    @F.arrow_udf("string")
+    def run(fmt: pa.Array, args: pa.Array) -> pa.Array:  # only these go to Python
+        return rendered(fmt, args)
+
+    return easy.unionByName(hard.withColumn("message", run("fmt", "args")))
 
 
 def lines(events: DataFrame, dictionary: DataFrame, executions: DataFrame, unknown: str = "null") -> DataFrame:
