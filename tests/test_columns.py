@@ -3,6 +3,7 @@
 import io
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -123,3 +124,15 @@ def test_rendering_takes_only_formats_and_arguments_to_python(spark):
     plan = render.message(e, d)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "ArrowEvalPython [run(fmt#" in plan
     assert render.message(e, d).where("message like 'Hello World #   _7' and wide is not null").count() > 0
+
+
+def test_round_trip_where_times_do_not_tell_messages_apart(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    copies = events.crossJoin(spark.range(3).withColumnRenamed("id", "k")).selectExpr("event_id + k * 1000 as event_id", "ts", *[c for c in events.columns if c not in ("event_id", "ts")], "k")
+    copies = copies.withColumn("ts", F.expr("if(k = 2, ts + interval '5' year, ts)")).drop("k")  # back by more than 56 bits of ns, too
+    copies.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    columns = "thread_id, rdtsc, seq, message"
+    found = sorted(tuple(r) for r in catalogue.QUERIES["binlog_roundtrip"](spark, str(tmp_path)).select(*columns.split(", ")).collect())
+    assert len(found) == 3000 and found == sorted(con.execute(f"SELECT {columns} FROM ({catalogue.ORACLE_SQL['binlog_roundtrip']})").fetchall())

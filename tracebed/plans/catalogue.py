@@ -422,18 +422,21 @@ for _percent in (100, 50, 10, 1):
 @query("binlog_roundtrip", "SELECT thread_id, rdtsc, seq, message FROM m")
 def binlog_roundtrip(spark, sf_dir):
     """Messages written as binary logs, read back by extents and rendered by the logs' own dictionaries."""
+    from ..schema import ARG
     from ..sources.binlog import scratch_log
 
-    e, d, _ = log(spark, sf_dir)
-    # The sequence number travels in the timestamp's last digits, which are zero: clocks here tick in microseconds.
-    rows = render.with_dictionary(e, d).select("thread_id", (F.col("rdtsc") + F.col("seq") % 1000).alias("rdtsc"), "severity", "filename", "line", "fmt", "args", "seq")
-    # A log for each of the eight threads: tasks write and read as many at a time as there are.
-    path = scratch_log(rows.drop("seq").repartitionById(8, F.col("thread_id").cast("int")))
+    # As many logs as there are tasks' worth of events, each with all messages that some threads wrote in some executions.
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(F.expr("event_id div 2500"), F.expr("user_id % 8"))
+    e, d = logview.shaped(raw), logview.dictionary(spark, logview.executions(spark, sf_dir))
+    # The sequence number is the last argument of each message, as times need not tell messages apart.
+    number = F.expr(f"cast(array(named_struct('type', 'unsigned_long_int_t', 'width', null, 'prec', null, 'i', null, 'u', seq, 'd', null, 's', null, 'b', null)) as array<{ARG}>)")
+    rows = render.with_dictionary(e, d).select("thread_id", "rdtsc", "severity", "filename", "line", F.concat("fmt", F.lit(" #%lu")).alias("fmt"), F.concat("args", number).alias("args"))
+    path = scratch_log(rows)
     read = spark.read.format("binlog").load(path)
     known = spark.read.format("binlog").option("relation", "dictionary").load(path)
-    back = render.message(read, known).select("thread_id", "rdtsc", "message")
-    # Sequence numbers are found again by thread and time, which together are unique.
-    return back.join(rows.select("thread_id", "rdtsc", "seq"), ["thread_id", "rdtsc"]).select("thread_id", (F.col("rdtsc") - F.col("seq") % 1000).alias("rdtsc"), "seq", "message")
+    # Five statements of each log, whose number the session's shuffle partitions bound.
+    back = render.message(read, F.broadcast(known)).withColumn("seq", F.expr("cast(element_at(args, -1).u as bigint)"))
+    return back.select("thread_id", "rdtsc", "seq", F.expr("left(message, length(message) - length(concat(' #', seq)))").alias("message"))
 
 
 @query("text_source_aggregate", "SELECT CAST(min(arg0) AS BIGINT) AS min, CAST(max(arg0) AS BIGINT) AS max, CAST(sum(arg0) AS BIGINT) // nullif(count(*), 0) AS mean, CAST(sum(arg0) AS BIGINT) AS total, count(*) AS matching FROM m WHERE log_id = 4")
